@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, packing, quality, sharding, urlfilter
+from lodestone.llm import decontam, licenses, minhash, packing, quality, sharding, substring, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": minhash.query,
         "op3_packing": packing.query,
+        "op4_substring_dedup": substring.query,
         "op5_url_filters": urlfilter.query,
         "op7_decontamination": decontam.query,
         "op8_license_scans": licenses.query,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": urlfilter.sql(), "op8_license_scans": licenses.sql()}
+    return {"op1_minhash_near_dedup": minhash.sql(), "op5_url_filters": urlfilter.sql(), "op8_license_scans": licenses.sql()}
