@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, minhash, packing, quality, sharding, substring, urlfilter
+from lodestone.llm import decontam, licenses, minhash, packing, quality, sharding, substring, suffixes, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.query,
         "op4_substring_dedup": substring.query,
         "op5_url_filters": urlfilter.query,
+        "op6_suffix_array_dedup": suffixes.query,
         "op7_decontamination": decontam.query,
         "op8_license_scans": licenses.query,
         "op9_quality_rules": quality.query,

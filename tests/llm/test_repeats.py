@@ -3,8 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
-from lodestone.llm import minhash, substring
+from lodestone.llm import minhash, substring, suffixes
 from lodestone.llm.components import components
 
 
@@ -127,3 +128,49 @@ def test_near_duplicates(spark, k):
 
 def test_sql_of_near_duplicates_is_registered():
     assert "RECURSIVE" in minhash.sql()
+
+
+def brute_bytes(rows, window=50):
+    least = {}
+    for r in rows:
+        t = (r.text or "").encode()
+        for s in range(len(t) - window + 1):
+            w = t[s : s + window]
+            least[w] = min(least.get(w, r.k_id), r.k_id)
+    out = []
+    for r in rows:
+        t = (r.text or "").encode()
+        gone = bytearray(len(t))
+        for s in range(len(t) - window + 1):
+            if least[t[s : s + window]] < r.k_id:
+                gone[s : s + window] = b"\1" * window
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_suffix_dedup(spark, hot):
+    docs = frame(spark, repeated_texts(40))
+    got = suffixes.examine(docs, hot=hot, bin_bytes=3_000).collect()
+    assert sorted(str((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == brute_bytes(minhash.keyed(docs).collect())
+    assert sum(r.n_removed > 0 for r in got) > 10 and suffixes.report(docs.limit(0)).count() == 0
+
+
+def test_merged_intervals_against_sorted_suffixes():
+    rng = random.Random(4)
+    shards = [sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 40))) for _ in range(12)}) for _ in range(4)]
+    made = []
+    for strings in shards:
+        text = b"".join(s + b"\xff" for s in strings)
+        made.append((text, *suffixes.shard_transform(np.frombuffer(text, dtype=np.uint8), np.array([len(s) + 1 for s in strings]))))
+    shard, interval = suffixes.merged_intervals([m[1] for m in made], 6)
+    rows, seen = [0] * 4, {}
+    for s, g in zip(shard.tolist(), interval.tolist(), strict=True):
+        text, _, place = made[s]
+        at = int(place[rows[s]])
+        rows[s] += 1
+        prefix = text[at : at + 6]
+        if b"\xff" not in prefix:
+            assert seen.setdefault(g, prefix) == prefix
+    assert len(set(seen.values())) == len(seen) > 40
