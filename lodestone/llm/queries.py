@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, minhash, packing, quality, sharding, substring, suffixes, urlfilter
+from lodestone.llm import classlm, decontam, licenses, minhash, packing, quality, sharding, substring, suffixes, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": minhash.query,
+        "op2_lm_scoring": classlm.query,
         "op3_packing": packing.query,
         "op4_substring_dedup": substring.query,
         "op5_url_filters": urlfilter.query,
