@@ -19,46 +19,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import slices
+from lodestone.llm.text import chars_hash, slices
 
 END_ID = 1
 MOST = 2048
-#: Pretokens whose ids a worker keeps between batches.
-CACHED = 400_000
+#: Pretokens whose ids a worker keeps between slices.
+CACHED = 600_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
-#: Beyond these letters the pretokens are left to the tokenizer itself, whose Unicode tables may be of another version.
-_WIDE = re.compile("[^\x00-ɏ]")
+#: Texts with other characters are left to the tokenizer itself, whose Unicode tables may be of another version.
+_WIDE = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
+_LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _encoders: dict[str, Encoder] = {}
 
 
+def _classes() -> np.ndarray:
+    """The class of each character that is not wide."""
+    import regex
+
+    kinds = [(_LETTER, regex.compile(r"\p{L}")), (_NUMBER, regex.compile(r"\p{N}")), (_SPACE, regex.compile(r"\s"))]
+    return np.array([next((k for k, x in kinds if x.match(chr(c))), _OTHER) for c in range(0x250)], dtype=np.uint8)
+
+
+def pretoken_starts(chars: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where the pretokens of texts begin (chars: the texts' characters, one after the other): runs of letters, numbers,
+    others and white space; of white space before something else the last character stands apart, and a blank joins what
+    follows; an apostrophe that begins a pretoken takes an English ending with it."""
+    n = len(chars)
+    kind = classes[chars]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[offsets] = True
+    edge = begins.copy()  # of documents
+    begins[1:n] |= kind[1:] != kind[:-1]
+    runs = begins.copy()
+    after_space = np.flatnonzero(begins[1:n] & ~edge[1:n] & (kind[:-1] == _SPACE)) + 1
+    begins[after_space - 1] = True
+    begins[after_space[chars[after_space - 1] == 0x20]] = False
+    mark = np.flatnonzero((chars == 0x27) & begins[:n] & runs[:n] & runs[1 : n + 1] & ~edge[1 : n + 1])
+    if len(mark):
+        padded = np.concatenate([chars, np.zeros(3, dtype=chars.dtype)])
+        stop = offsets[np.searchsorted(offsets, mark, "right")]
+        one, two = padded[mark + 1], np.where(mark + 2 < stop, padded[mark + 2], 0)
+        pair = np.isin(one * 0x10000 + two, [ord(x) * 0x10000 + ord(y) for x, y in ("re", "ve", "ll")])
+        size = np.where(np.isin(one, [ord(x) for x in "stmd"]), 1, np.where(pair, 2, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        begins[mark + 1] = False
+        begins[mark + 1 + size] = True
+    return np.flatnonzero(begins[:n])
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. A byte-level BPE never merges across pretokens, so ids are
-    kept by pretoken and only new ones reach the tokenizer."""
+    """Ids of texts. A byte-level BPE never merges across pretokens, so the ids of each pretoken are kept by its hash and
+    only new ones reach the tokenizer."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.kept: dict[str, bytes] = {}
+        self.classes = _classes()
+        self.kept: dict[int, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo in range(0, len(texts), 10_000):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 10_000], add_special_tokens=False)]
+        return out
+
+    def pretokens(self, names: list[str]) -> list[bytes]:
+        """Ids of pretokens, many at a time: those with a blank before them follow each other in one text, those that
+        begin with something else stand between line feeds; both texts split into just these pretokens again."""
+        out: list[bytes] = [b""] * len(names)
+        blank = [i for i, x in enumerate(names) if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+        bare = [i for i, x in enumerate(names) if not x[0].isspace()]
+        rest = [i for i, x in enumerate(names) if x[0].isspace() and not (len(x) > 1 and x[0] == " " and not x[1].isspace())]
+        for which, before in ((blank, ""), (bare, "\n")):
+            for lo in range(0, len(which), 4000):
+                own = which[lo : lo + 4000]
+                found = self.tokenizer.encode(before + before.join(names[i] for i in own), add_special_tokens=False)
+                ids, words = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
+                if before:  # every other pretoken is a line feed
+                    ids, words = ids[words % 2 == 1], words[words % 2 == 1] // 2
+                edge = np.searchsorted(words, np.arange(len(own) + 1))
+                if len(words) == 0 or words[-1] != len(own) - 1 or (np.diff(edge) < 1).any():
+                    raise ValueError("the tokenizer splits texts in another way than its pretokens were split")
+                data = ids.tobytes()
+                for i, a, b in zip(own, (4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist(), strict=True):
+                    out[i] = data[a:b]
+        for i, x in zip(rest, self.whole([names[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit bytes."""
+        wide = [i for i, t in enumerate(texts) if _WIDE.search(t)]
+        plain = list(texts)
+        for i in wide:
+            plain[i] = ""
+        joined = "".join(plain)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in plain])]).astype(np.int64)
+        chars = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        start = pretoken_starts(chars, offsets, self.classes) if len(chars) else np.zeros(0, dtype=np.int64)
+        end = np.append(start, len(chars))[1:]
+        names, head, which = np.unique(chars_hash(chars, start, end), return_index=True, return_inverse=True)
         if len(self.kept) > CACHED:
             self.kept.clear()
-        wide = [i for i, t in enumerate(texts) if _WIDE.search(t)]
-        skip = set(wide)
-        pieces = [[] if i in skip else self.split(t) for i, t in enumerate(texts)]
-        new = list(set().union(*pieces).difference(self.kept))
-        self.kept.update(zip(new, self.whole(new), strict=True))
-        out = [b"".join(map(self.kept.__getitem__, p)) for p in pieces]
-        for i, ids in zip(wide, self.whole([texts[i] for i in wide]), strict=True):
-            out[i] = ids
+        ids = list(map(self.kept.get, names.tolist()))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self.pretokens([joined[start[head[i]] : end[head[i]]] for i in new]), strict=True):
+            ids[i] = x
+            self.kept[int(names[i])] = x
+        size = np.array([len(x) for x in ids], dtype=np.int64) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        own = size[which]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[which], own)
+        total = np.concatenate([[0], np.cumsum(own)])[np.searchsorted(start, offsets)] * 4
+        data = flat[at].tobytes()
+        out = [data[a:b] for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)]
+        for i, x in zip(wide, self.whole([texts[i] for i in wide]), strict=True):
+            out[i] = x
         return out
 
 

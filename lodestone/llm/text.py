@@ -63,6 +63,14 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * powers(_BASE_INVERSE, n + 1)[start] + (end - start).astype(U64) * _STEP)
 
 
+def chars_hash(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As spans_hash, of arrays of small numbers such as characters."""
+    n = len(chars)
+    total = np.zeros(n + 1, dtype=U64)
+    np.cumsum(mix(chars.astype(U64) + U64(1)) * powers(_BASE, n), out=total[1:])
+    return mix((total[end] - total[start]) * powers(_BASE_INVERSE, n + 1)[start] + (end - start).astype(U64) * _STEP)
+
+
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive values, at each of the len(h) - n + 1 starts."""
     if len(h) < n:

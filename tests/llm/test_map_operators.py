@@ -84,7 +84,7 @@ def test_held_out_quality(spark):
 
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    docs = table(spark, texts() + ["don't we'll 12 34  x \n\n y<|endoftext|>", "漢字 и text"])
+    docs = table(spark, texts() + ["don't we'll 12 34  x \n\n y<|endoftext|>", "漢字 и text", "it's 'twas x's. 's 're're 'll'l l'\n's I'm'd''s a'", "  a   b\t c\n\nd \t e  ", " \xa0x\x85y\x1cz", "'s", "a'", "1'ds ²½"])
     rows = packing.digest(packing.pieces(docs)).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 2048 for r in rows)
     encoder = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
