@@ -300,7 +300,7 @@ def test_tree_snapshot(spark, tmp_path):
     assert snap.documents.count() == 1 and lookup.find_document_key(snap, "k").rows.count() == 1
     again = resolve.upsert_actions(snap.files, tree.snapshot(spark, files, 2).files)
     assert collections.Counter(r.action for r in again.collect()) == {"touch": 4}
-    assert text.search_lexical(snap, "func .*Login").rows.first().line == 15
+    assert text.search_lexical(snap, "func .*Login").rows.first().line == 16
 
 
 def test_git(tmp_path):
