@@ -112,9 +112,10 @@ def cut_hash(values: np.ndarray) -> np.ndarray:
     return mix(values) >> U64(64 - BITS)
 
 
-def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.Array], np.ndarray], per_byte: float, hot: int) -> DataFrame:
-    """(block, part, bits): for each block and range, two packed bit arrays over its distinct sorted anchors of the
-    range: which occur twice or more, and which of those more than hot times. anchors: the hashes of a block's texts."""
+def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.Array], np.ndarray], per_byte: float, hot: int) -> tuple[DataFrame, np.uint64, bool]:
+    """(block, answers), the shift that makes a hash's range, and whether any anchor is hot. answers: for each range two
+    packed bit arrays over the block's distinct sorted anchors of the range: which occur twice or more, and which of
+    those more than hot times. anchors: the hashes of a block's texts."""
     total = blocks.agg(F.sum("size")).first()[0] or 0
     width = max(4, int(np.ceil(np.log2(max(1.0, total * per_byte / RANGE)))))
     shift = U64(BITS - width)
@@ -139,11 +140,12 @@ def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.Array], np.ndarray
         twice, often = (count > 1)[inverse], (count > hot)[inverse]
         ends = np.cumsum([len(x) for x in own])
         bits = [squeeze(np.packbits(np.stack([twice[e - len(x) : e], often[e - len(x) : e]])).tobytes()) for x, e in zip(own, ends, strict=True)]
-        return pa.table({"block": table["block"].combine_chunks(), "part": table["part"].combine_chunks(), "bits": pa.array(bits, pa.binary())})
+        return pa.table({"block": table["block"].combine_chunks(), "part": table["part"].combine_chunks(), "bits": pa.array(bits, pa.binary()), "hot": pa.array([bool(often.any())] * len(own))})
 
     sent = blocks.select("block", "k_id", "k_th", "ends", "z").mapInArrow(send, "block long, part long, packed binary, times binary")
-    answers = sent.groupBy("part").applyInArrow(answer, "block long, part long, bits binary")
-    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("answers")), shift
+    answers = sent.groupBy("part").applyInArrow(answer, "block long, part long, bits binary, hot boolean")
+    by_block = materialize(answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("answers"), F.max("hot").alias("hot")))
+    return by_block.select("block", "answers"), shift, not by_block.filter("hot").isEmpty()
 
 
 def chosen(values: np.ndarray, answers: list[dict] | None, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:

@@ -146,13 +146,13 @@ def _windows(window: int):
 
 def repeats(blocks: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bin_size: int = BIN) -> DataFrame:
     """(block, spans): the word spans of each block's documents that earlier windows have too, packed."""
-    bits, shift = repeated_anchors(blocks, lambda texts: _anchors(texts, window, gram)[1], 1 / 40, hot)
+    bits, shift, any_hot = repeated_anchors(blocks, lambda texts: _anchors(texts, window, gram)[1], 1 / 40, hot)
     total = blocks.agg(F.sum("size")).first()[0] or 0
     # at most every 40th byte begins a suffix, so a bin holds bin_size of them or fewer, but for one hot prefix at most
     bins = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / 40 / bin_size) + 1)
-    parts = materialize(blocks.join(bits, "block").select("block", "k_id", "k_th", "ends", "z", "answers").mapInArrow(_contexts(window, gram, bins, shift), "block long, bin long, meta binary, z binary"))
+    parts = blocks.join(bits, "block").select("block", "k_id", "k_th", "ends", "z", "answers").mapInArrow(_contexts(window, gram, bins, shift), "block long, bin long, meta binary, z binary")
     cold = parts.filter("bin >= 0").groupBy("bin").applyInArrow(_bin(window), "block long, spans binary")
-    if parts.filter("bin < 0").isEmpty():
+    if not any_hot:
         return cold
     rows = parts.filter("bin < 0").mapInArrow(_windows(window), "block long, h1 long, h2 long, k_id long, k_th long, doc long, start long")
     heads = rows.groupBy("h1", "h2").agg(F.min(F.struct("k_id", "k_th", "start")).alias("head"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import chosen, coverage, make_blocks, opened, pack, repeated_anchors, runs_of_windows, span_table, unpack
+from lodestone.llm.blocks import chosen, coverage, make_blocks, opened, pack, repeated_anchors, runs_of_windows, span_table, squeeze, stretch, unpack
 from lodestone.llm.storage import materialize
 from lodestone.llm.text import NULL_ID, binary_buffers, mix, spans_hash
 
@@ -53,11 +53,9 @@ def _anchors(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, ...]:
     return data, offsets, grams[at], at, lo, hi
 
 
-def pieces_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[start : start + size] one after the other."""
-    total = int(size.sum())
-    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-    return data[at]
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of each range, one range after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
 def shard_transform(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +64,15 @@ def shard_transform(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
     n = len(text)
     if not n:
         return text, np.zeros(0, dtype=np.int64)
-    first = np.repeat(np.cumsum(size) - size, size)
+    stop = np.repeat(np.cumsum(size), size)
     length = np.repeat(size, size)
-    step = np.arange(n) - first
+    here = np.arange(n)
 
     def ahead(k: int) -> np.ndarray:
-        return first + (step + k) % length
+        at = here + k
+        over = np.flatnonzero(at >= stop)
+        at[over] -= -(-(at[over] - stop[over] + 1) // length[over]) * length[over]
+        return at
 
     key = np.zeros(n, dtype=U64)
     for k in range(8):
@@ -85,10 +86,34 @@ def shard_transform(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
         key = rank.astype(U64) * U64(n + 1) + rank[ahead(depth)].astype(U64)
         depth *= 2
     place = np.argsort(rank, kind="stable")
-    before = first + (step - 1) % length
+    before = np.where(here == stop - length, stop, here) - 1
     return text[before[place]], place
 
 
+def row_places(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The transform undone: the row of each place of the strings, one string after the other in sorted order, and the
+    strings' lengths with END. All strings are walked back from their ends at once."""
+    back = np.empty(len(bwt), dtype=np.int64)
+    back[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    n = int((bwt == END).sum())
+    row = np.arange(len(bwt) - n, len(bwt))  # END sorts last, so these rows begin with it
+    live, of, steps = np.arange(n), [], []
+    rows, depth = [], 0
+    while len(live):
+        rows.append(row)
+        of.append(live)
+        steps.append(np.full(len(live), depth))
+        more = bwt[row] != END
+        row, live, depth = back[row[more]], live[more], depth + 1
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    of, steps, rows = np.concatenate(of), np.concatenate(steps), np.concatenate(rows)
+    length = np.bincount(of, minlength=n)
+    out = np.empty(len(bwt), dtype=np.int64)
+    out[np.cumsum(length)[of] - 1 - steps] = rows
+    return out, length
+
+
 def merged_intervals(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, interval): which shard each merged row is from, and a number that rows share whose first ``rounds``
     symbols are the same."""
@@ -102,17 +127,21 @@ def merged_intervals(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
     step = np.empty(len(every), dtype=np.int32)
     for b, t in zip(base.tolist(), transforms, strict=True):
         step[b + np.argsort(t, kind="stable")] = b + np.arange(len(t), dtype=np.int32)
-    for _ in range(rounds):
-        symbol = every[row]
+    # two rounds at a time: the symbol before the one before, then the one before, as one number of 16 bits
+    pair, twice = (every[step].astype(np.uint16) << 8) | every, step[step]
+    for turn in range(rounds // 2 + rounds % 2):
+        single = rounds % 2 and not turn
+        symbol = (every if single else pair)[row]
         order = np.argsort(symbol, kind="stable")
-        symbol, old, row = symbol[order], group[order], step[row[order]]
+        symbol, old, row = symbol[order], group[order], (step if single else twice)[row[order]]
         if len(row):
             group = np.concatenate([[0], np.cumsum((symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1]))]).astype(np.int32)
     return shard[row], group
 
 
 def _contexts(window: int, gram: int, bins: int, shift: np.uint64):
-    """(block, bin, meta, transform, place): for each bin the transform of a block's distinct strings around anchors."""
+    """(block, bin, meta, bwt): for each bin the transform of a block's distinct strings around anchors, and for each
+    anchor its document, place and string (by rank among the sorted). For hot anchors, bin -1, the plain strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,45 +165,76 @@ def _contexts(window: int, gram: int, bins: int, shift: np.uint64):
                     text = np.full(length.sum(), END, dtype=np.uint8)
                     inside = np.ones(len(text), dtype=bool)
                     inside[np.cumsum(length) - 1] = False
-                    text[inside] = pieces_of(data, lo[c][head], size[head])
-                    bwt, place = shard_transform(text, length) if where[c[0]] >= 0 else (text, np.zeros(0, np.int64))
+                    text[inside] = data[ranges(lo[c][head], size[head])]
+                    if where[c[0]] >= 0:
+                        text, place = shard_transform(text, length)
+                        rank = np.empty(len(length), dtype=np.int64)
+                        rank[np.searchsorted(np.cumsum(length), place[len(place) - len(length) :], "right")] = np.arange(len(length))
+                        string = rank[string]
                     meta = np.concatenate([k_id[doc], doc, lo[c] - offsets[doc], string.astype(np.int64)]).astype(np.int64)
-                    out.append((batch["block"][i].as_py(), int(where[c[0]]), pack(meta), pack(length.astype(np.int32)), pack(bwt), pack(place.astype(np.int32))))
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["block", "bin", "meta", "length", "bwt", "place"])
+                    out.append((batch["block"][i].as_py(), int(where[c[0]]), pack(meta), squeeze(text.tobytes())))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["block", "bin", "meta", "bwt"])
 
     return run
 
 
 def _bin(window: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [[unpack(x.as_py(), t) for x in table[c]] for c, t in (("meta", np.int64), ("length", np.int32), ("bwt", np.uint8), ("place", np.int32))]
-        shard, interval = merged_intervals(parts[2], window)
-        where, n = table["block"].to_numpy(), len(parts[0])
-        # what each merged row is: a shard's rows keep their order in the interleave
-        rows = [np.flatnonzero(shard == s) for s in range(n)]
+        metas = [unpack(x.as_py(), np.int64).reshape(4, -1) for x in table["meta"]]
+        transforms = [np.frombuffer(stretch(x.as_py()), dtype=np.uint8) for x in table["bwt"]]
+        where, n = table["block"].to_numpy(), len(metas)
+        # a string that several shards have is merged once: the rows of the others' copies leave their transforms
+        names = []
+        walked = [row_places(t) for t in transforms]
+        for t, (row, length) in zip(transforms, walked, strict=True):
+            text = np.empty(len(t), dtype=np.uint8)
+            end = np.cumsum(length)
+            before = np.arange(len(t)) - 1
+            before[end - length] = end - 1
+            text[before] = t[row]
+            names.append(spans_hash(text, end - length, end))
+        every, head, string_of = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        at = np.cumsum([len(x) for x in names])
+        kept = np.zeros(len(string_of), dtype=bool)
+        kept[head] = True
+        reduced, rows_kept = [], []
+        for t, (row, length), e in zip(transforms, walked, at, strict=True):
+            alive = np.zeros(len(t), dtype=bool)
+            alive[row] = np.repeat(kept[e - len(length) : e], length)
+            reduced.append(t[alive])
+            rows_kept.append(np.cumsum(alive) - 1)
+        shard, interval = merged_intervals(reduced, window)
+        by_shard = np.argsort(shard, kind="stable")  # a shard's rows keep their order in the interleave
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in reduced])])
+        # intervals of the places of each distinct string, from the shard that kept it
+        length_of = np.concatenate([length for _, length in walked])
+        size = length_of[head]
+        first = np.cumsum(size) - size
+        interval_of = np.empty(int(size.sum()), dtype=np.int64)
+        for s, (row, length) in enumerate(walked):
+            own = np.flatnonzero(kept[at[s] - len(length) : at[s]])
+            start = (np.cumsum(length) - length)[own]
+            merged = interval[by_shard[edge[s] : edge[s + 1]]]
+            target = ranges(first[string_of[at[s] - len(length) + own]], length[own])
+            interval_of[target] = merged[rows_kept[s][row[ranges(start, length[own])]]]
+        lowest = np.full(len(every), np.iinfo(np.int64).max)
+        for s, (_, length) in enumerate(walked):
+            k_id, _, _, string = metas[s]
+            np.minimum.at(lowest, string_of[at[s] - len(length) + string], k_id)
+        windows = size - window
+        of = np.repeat(np.arange(len(every)), windows)
+        spot = ranges(first, windows)
         least = np.full(int(interval.max()) + 1 if len(interval) else 0, np.iinfo(np.int64).max)
-        kept = []
-        for s in range(n):
-            k_id, doc, start, string = parts[0][s].reshape(4, -1)
-            length, place = parts[1][s].astype(np.int64), parts[3][s].astype(np.int64)
-            at = np.empty(len(place), dtype=np.int64)
-            at[place] = interval[rows[s]]  # by place in the shard's text
-            first = np.cumsum(length) - length
-            windows = length - 1 - window + 1
-            lowest = np.full(len(length), np.iinfo(np.int64).max)
-            np.minimum.at(lowest, string, k_id)
-            of = np.repeat(np.arange(len(length)), windows)
-            spot = np.repeat(first, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            np.minimum.at(least, at[spot], lowest[of])
-            kept.append((k_id, doc, start, string, at, first, windows))
+        np.minimum.at(least, interval_of[spot], lowest[of])
         out = [[], [], [], []]
         for s in range(n):
-            k_id, doc, start, string, at, first, windows = kept[s]
+            k_id, doc, start, string = metas[s]
+            string = string_of[at[s] - len(walked[s][1]) + string]
             w = windows[string]
             of = np.repeat(np.arange(len(string)), w)
             step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            gone = np.flatnonzero(least[at[first[string[of]] + step]] < k_id[of])
+            gone = np.flatnonzero(least[interval_of[first[string[of]] + step]] < k_id[of])
             of, step = of[gone], step[gone]
             new = np.concatenate([[True], (of[1:] != of[:-1]) | (step[1:] != step[:-1] + 1)]) if len(of) else np.zeros(0, bool)
             a = np.flatnonzero(new)
@@ -193,8 +253,10 @@ def _windows(window: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 k_id, doc, start, string = unpack(batch["meta"][i].as_py(), np.int64).reshape(4, -1)
-                length, text = unpack(batch["length"][i].as_py(), np.int32).astype(np.int64), unpack(batch["bwt"][i].as_py(), np.uint8)
-                first, n = np.cumsum(length) - length, (length - window)[string]
+                text = np.frombuffer(stretch(batch["bwt"][i].as_py()), dtype=np.uint8)
+                stop = np.flatnonzero(text == END) + 1
+                length = np.diff(np.concatenate([[0], stop]))
+                first, n = stop - length, (length - window)[string]
                 of = np.repeat(np.arange(len(string)), n)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = first[string[of]] + step
@@ -207,15 +269,14 @@ def _windows(window: int):
 
 def repeats(blocks: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bin_bytes: int = BIN_BYTES) -> DataFrame:
     """(block, spans): the byte spans of each block's documents that documents of smaller ids have too, packed."""
-    bits, shift = repeated_anchors(blocks, lambda texts: _anchors(texts, window, gram)[2], 2 / (window - gram), hot)
+    bits, shift, any_hot = repeated_anchors(blocks, lambda texts: _anchors(texts, window, gram)[2], 2 / (window - gram), hot)
     total = blocks.agg(F.sum("size")).first()[0] or 0
     bins = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / bin_bytes) + 1)
-    schema = "block long, bin long, meta binary, length binary, bwt binary, place binary"
-    parts = materialize(blocks.join(bits, "block").select("block", "k_id", "k_th", "ends", "z", "answers").mapInArrow(_contexts(window, gram, bins, shift), schema))
+    parts = blocks.join(bits, "block").select("block", "k_id", "k_th", "ends", "z", "answers").mapInArrow(_contexts(window, gram, bins, shift), "block long, bin long, meta binary, bwt binary")
     cold = parts.filter("bin >= 0").groupBy("bin").applyInArrow(_bin(window), "block long, spans binary")
-    if parts.filter("bin < 0").isEmpty():
+    if not any_hot:
         return cold
-    rows = parts.filter("bin < 0").select("block", "meta", "length", "bwt").mapInArrow(_windows(window), "block long, h1 long, h2 long, k_id long, doc long, start long")
+    rows = parts.filter("bin < 0").select("block", "meta", "bwt").mapInArrow(_windows(window), "block long, h1 long, h2 long, k_id long, doc long, start long")
     heads = rows.groupBy("h1", "h2").agg(F.min("k_id").alias("head"))
     later = rows.join(heads, ["h1", "h2"]).filter("k_id > head").select("block", "doc", "start")
 
