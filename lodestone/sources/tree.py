@@ -13,7 +13,7 @@ from lodestone.operators.resolve import resolve_imports, resolve_refs, wire_pare
 from lodestone.sources.extract import document_kind, extract, language_of, parse_hash
 from lodestone.sources.model import PROJECTS, Snapshot
 
-SKIPPED = (".git", ".mycelium")
+SKIPPED = (".git", ".lodestone")
 
 
 def find_root(start: str, marker: str = ".git") -> str | None:
