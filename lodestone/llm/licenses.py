@@ -61,26 +61,29 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def templates(spark: SparkSession) -> DataFrame:
+    """(number, at, size, t1, t2, t3, hash) of each template's 3-grams, as a local relation; number: its place in TEMPLATES."""
     rows = []
-    for label, text in TEMPLATES:
+    for number, (_, text) in enumerate(TEMPLATES):
         w = text.split()
-        rows += [(label, i, len(w), *w[i : i + 3]) for i in range(len(w) - 2)]
-    return spark.createDataFrame(rows, "label string, at int, size int, t1 string, t2 string, t3 string").withColumn("hash", F.xxhash64("t1", "t2", "t3"))
+        rows += [f"({number}, {i}, {len(w)}, '{w[i]}', '{w[i + 1]}', '{w[i + 2]}')" for i in range(len(w) - 2)]
+    return spark.sql(f"SELECT *, xxhash64(t1, t2, t3) AS hash FROM VALUES {', '.join(rows)} AS t(number, at, size, t1, t2, t3)")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Verified spans: k_id, k_th, label, first and last word, coverage."""
+    """Verified spans: k_id, k_th, number of the template, first and last word, coverage."""
     w = words(normal(F.col("text")))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k_id"), F.xxhash64("text").alias("k_th"), w.alias("w")).filter(F.size("w") >= 3)
     later = lambda k: F.slice(F.col("w"), F.lit(k), F.size("w"))
     grams = rows.select("k_id", "k_th", F.posexplode(F.arrays_zip(F.col("w").alias("w1"), later(2).alias("w2"), later(3).alias("w3"))).alias("pos", "g"))
     grams = grams.select("k_id", "k_th", "pos", F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"), F.col("g.w3").alias("w3")).withColumn("hash", F.xxhash64("w1", "w2", "w3"))
     votes = grams.join(F.broadcast(templates(docs.sparkSession)), "hash").filter("w1 = t1 AND w2 = t2 AND w3 = t3")
-    diagonals = votes.groupBy("k_id", "k_th", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("ats"))
-    order = Window.partitionBy("k_id", "k_th", "label").orderBy("diagonal")
+    # plain counts only: a diagonal's distinct template places are rows of a grouping
+    cells = votes.groupBy("k_id", "k_th", "number", "size", (F.col("pos") - F.col("at")).alias("diagonal"), "at").agg(F.min("pos").alias("lo"))
+    order = Window.partitionBy("k_id", "k_th", "number").orderBy("diagonal", "at")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True)).cast("int")
-    merged = diagonals.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy("k_id", "k_th", "label", "size", "cluster").agg(F.min("lo").alias("first"), (F.max("hi") + 2).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"))
+    merged = cells.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy("k_id", "k_th", "number", "size", "cluster", "at").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"))
+    merged = merged.groupBy("k_id", "k_th", "number", "size", "cluster").agg(F.min("lo").alias("first"), (F.max("hi") + 2).alias("last"), F.count("*").alias("n"))
     merged = merged.withColumn("coverage", F.col("n") / (F.col("size") - 2))
     return merged.filter((F.col("coverage") >= MIN_COVERAGE) & (F.col("last") - F.col("first") + 1 <= MAX_STRETCH * F.col("size")))
 
@@ -88,9 +91,10 @@ def spans(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """For each row: n_words, the base's places and labels, all labels and the score: the best coverage of a verified
     span, 1 where a phrase of the base stands."""
-    found = spans(docs).groupBy("k_id", "k_th").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"))
+    found = spans(docs).groupBy("k_id", "k_th").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("bits"), F.max("coverage").alias("best"))
     out = base(docs).join(found, ["k_id", "k_th"], "left")
-    every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
+    more = F.filter(F.array(*(F.when(F.expr(f"(bits & shiftleft(1L, {i})) <> 0"), F.lit(label)) for i, (label, _) in enumerate(TEMPLATES))), lambda x: x.isNotNull())
+    every = F.array_sort(F.array_distinct(F.concat("base", more)))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", every).alias("labels"), score.alias("score"))
 
