@@ -16,7 +16,7 @@ def _by_remainder(c, n: int, values) -> F.Column:
     return reduce(lambda w, kv: w.when(c % n == kv[0], kv[1]), list(enumerate(values))[1:], F.when(c % n == 0, values[0]))
 
 
-def star_snapshot(spark: SparkSession, sf_dir: str, density: float = 0.02) -> Snapshot:
+def star_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     projects = read("region").filter("r_regionkey > 0").select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.lower("r_name").alias("name"), F.concat(F.lit("services/"), F.lower("r_name")).alias("root"), F.lit(0).cast("long").alias("created_at"))
 
@@ -42,8 +42,8 @@ def star_snapshot(spark: SparkSession, sf_dir: str, density: float = 0.02) -> Sn
     )
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    items = read("lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_returnflag", F.lead("l_partkey").over(order).alias("dst"), F.row_number().over(order).alias("at"))
-    items = items.filter((F.col("l_discount") <= density) & F.col("dst").isNotNull()).withColumn("id", F.col("l_orderkey") * 100 + F.col("at"))
+    items = read("lineitem").select("l_orderkey", "l_partkey", "l_returnflag", F.lead("l_partkey").over(order).alias("dst"), F.row_number().over(order).alias("at"))
+    items = items.filter(F.col("dst").isNotNull()).withColumn("id", F.col("l_orderkey") * 100 + F.col("at"))
     i = F.col("id")
     target = symbols.select(F.col("id").alias("dst"), F.col("qualified").alias("d_qualified"), F.col("name").alias("d_name"))
     items = items.join(target, "dst")
