@@ -3,6 +3,7 @@ capture against the entries that were active when it was fetched.
 
 An entry's pattern is a host or a parent domain, or a host with leading path segments. The last entry of a pattern at
 or before a moment is the active one; of the active patterns that fit a capture the longest decides.
+Candidates of a capture go down to the list's deepest entry.
 
 Null url or fetch time: no pattern fits, allowed. Entries with a null pattern, action or date are ignored; entries of
 one pattern and date: "allow" comes last and so holds. Repeated captures are evaluated each. Without entries all is
@@ -23,7 +24,6 @@ ENTRIES = [
     ("example.net", "allow", "2024-01-01"), ("example.com", "block", "2024-12-01"), ("m.thther.example.org/de", "allow", "2024-03-15"),
 ]
 BROADCAST_ROWS, SALTS = 100_000, 16
-_SEGMENTS = 3
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -34,13 +34,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return known.select("pattern", "action", F.col("listed_on").alias("from"), F.lead("listed_on").over(order).alias("until"))
 
 
-def patterns(url: Column) -> Column:
-    """All patterns that fit the url: its host, the host's parent domains, and the host with leading path segments."""
+def patterns(url: Column, depth: int) -> Column:
+    """All patterns that fit the url: its host, the host's parent domains, and the host with up to depth leading path segments."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, _SEGMENTS)
+    parts = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, depth)
     deeper = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.concat(parents, deeper)).otherwise(F.array().cast("array<string>"))
 
@@ -48,8 +48,10 @@ def patterns(url: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """captures(page_id, url, fetched_on) with pattern (null: none fits), listed_on and blocked."""
     valid = intervals(entries)
+    # no entry has more segments than the deepest of the list, so deeper candidates cannot fit
+    depth = entries.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit(""))))).first()[0] or 0
     rows = captures.select("page_id", "url", F.col("fetched_on").cast("date").alias("fetched_on")).withColumn("row", F.monotonically_increasing_id())
-    keys = rows.withColumn("pattern", F.explode_outer(patterns(F.col("url"))))
+    keys = rows.withColumn("pattern", F.explode_outer(patterns(F.col("url"), depth)))
     on = ["pattern"]
     if valid.limit(broadcast_rows + 1).count() <= broadcast_rows:
         valid = F.broadcast(valid)

@@ -182,3 +182,12 @@ def test_url_filters_by_shuffle_as_by_broadcast(spark):
     assert one == two and len(one) == 72
     # a.b.org/x is blocked from September, and only the last of every twelve captures fits it then
     assert sorted(r[0] for r in one if r[5]) == list(range(11, 72, 12))
+
+
+@pytest.mark.parametrize("broadcast_rows", [100, 1])
+def test_url_filters_by_entries_of_any_depth(spark, broadcast_rows):
+    urls = ["http://h.org/a/b/c/d", "http://h.org/a/b/c/d/e/f?q", "http://h.org/a/b/c/dx", "http://h.org/a/b/c", "http://h.org/1/2/3/4/5/6/7", "http://h.org/1/2/3/4/5/6", "http://h.org/"]
+    pages = spark.createDataFrame([(i, u, "2024-05-01") for i, u in enumerate(urls)], "page_id long, url string, fetched_on string")
+    entries = [("h.org/a/b/c/d", "block"), ("h.org/a/b/c/d/e", "allow"), ("h.org/1/2/3/4/5/6/7", "block")]
+    got = urlfilter.evaluate(pages, spark.createDataFrame([(*e, "2024-01-01") for e in entries], "pattern string, action string, listed_on string"), broadcast_rows=broadcast_rows)
+    assert sorted((r.page_id, r.pattern, r.blocked) for r in got.collect() if r.pattern) == [(0, "h.org/a/b/c/d", True), (1, "h.org/a/b/c/d/e", False), (4, "h.org/1/2/3/4/5/6/7", True)]
