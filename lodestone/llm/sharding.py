@@ -1,9 +1,11 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (documents of equal text).
 
 Groups of at least 1/fineness of all bytes are items of their own: there are at most ``fineness`` of them whatever the
-input. All smaller groups fall by hash into ``fineness`` cells that are packed whole. So the driver packs at most
-2 * fineness items, in decreasing size, each into the bin with the tightest remaining capacity; the executors group,
-join and number rows with DataFrame operations only.
+input. All smaller groups are counted by size class: sizes below 4096 are classes of their own, above a class spans
+less than 1/2048 of its size. The driver packs the classes' groups one by one, in decreasing size, each into the bin
+with the tightest remaining capacity; equal sizes go there in runs, as the tightest bin stays so until it is full. So
+it holds at most ``fineness`` items and some ten thousand classes, and every group is placed by its own size. The
+executors group, rank the groups of a class, join and number rows with DataFrame operations only.
 
 Null text counts as empty (size 1). Repeated rows are one group and each get a slot. A null id is sharded like any
 other. An empty table gives an empty result. A group larger than a shard's even part makes that shard as large.
@@ -12,12 +14,15 @@ other. An empty table gives an empty result. A group larger than a shard's even
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Items that the driver packs: groups at least this part of all bytes, and cells of smaller ones.
+#: Groups of at least this part of all bytes are packed singly.
 FINENESS = 50_000
+#: Bits of a size that tell its class.
+_BITS = 12
 #: Values in a leaf of the tree of remaining capacities.
 _LEAF = 256
 
@@ -48,28 +53,38 @@ class CapacityTree:
         return None
 
 
+def best_fit_runs(runs: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
+    """For each (size, count), in the order given: (bin, how many) of its items, as best fit would place them one by
+    one. Bins hold at most capacity, an item above it has a bin to itself."""
+    tree, out, used = CapacityTree(), [[] for _ in runs], 0
+    for i in sorted(range(len(runs)), key=lambda i: (-runs[i][0], i)):
+        size, left = runs[i]
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                found = (max(capacity, size), used)
+                used += 1
+            n = min(left, found[0] // size)
+            out[i].append((found[1], n))
+            tree.add(found[0] - n * size, found[1])
+            left -= n
+    return out
+
+
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     """The bin of each size; bins hold at most capacity, an item above it has a bin to itself."""
-    tree, bins, used = CapacityTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take_tightest(sizes[i])
-        if found is None:
-            found = (max(capacity, sizes[i]), used)
-            used += 1
-        bins[i] = found[1]
-        tree.add(found[0] - sizes[i], found[1])
-    return bins
-
-
-def into_shards(sizes: list[int], shards: int) -> list[int]:
+    return [placed[0][0] for placed in best_fit_runs([(s, 1) for s in sizes], capacity)]
+
+
+def into_shards(runs: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
     """Bins 0 .. shards - 1 of nearly equal bytes: the least capacity, by halving, at which best fit needs no more."""
-    low = max([-(-sum(sizes) // shards), *sizes], default=0)
+    low = max([-(-sum(s * n for s, n in runs) // shards), *(s for s, _ in runs)], default=0)
     high = 2 * low + 1
-    best = best_fit_decreasing(sizes, high)
+    best = best_fit_runs(runs, high)
     while low < high:
         mid = (low + high) // 2
-        bins = best_fit_decreasing(sizes, mid)
-        if max(bins, default=0) < shards:
+        bins = best_fit_runs(runs, mid)
+        if max((b for placed in bins for b, _ in placed), default=0) < shards:
             best, high = bins, mid
         else:
             low = mid + 1
@@ -88,18 +103,28 @@ def shard(docs: DataFrame, shards: int = 8, fineness: int = FINENESS) -> DataFra
     rows = measured(docs)
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).checkpoint()
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    cell = F.pmod(F.xxhash64("group"), F.lit(fineness))
     large = groups.filter(F.col("bytes") * fineness >= total).select("group", "bytes").collect()  # at most fineness rows
-    cells = groups.filter(F.col("bytes") * fineness < total).groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()  # at most fineness rows
     large.sort(key=lambda r: (r["bytes"], bytes(r["group"])))
-    cells.sort(key=lambda r: r["cell"])
-    bins = into_shards([r["bytes"] for r in large] + [r["bytes"] for r in cells], shards)
-    of_group = spark.createDataFrame([(r["group"], b) for r, b in zip(large, bins[: len(large)], strict=True)], "group binary, own_shard int")
-    of_cell = spark.createDataFrame([(r["cell"], b) for r, b in zip(cells, bins[len(large) :], strict=True)], "cell long, cell_shard int")
-    placed = rows.join(F.broadcast(of_group), "group", "left").withColumn("cell", cell).join(F.broadcast(of_cell), "cell", "left")
-    placed = placed.withColumn("shard", F.coalesce("own_shard", "cell_shard")).select("doc_id", "size", "text_crc32", "shard")
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size_class = F.expr(f"shiftleft(shiftright(bytes, greatest(length(bin(bytes)) - {_BITS}, 0)), greatest(length(bin(bytes)) - {_BITS}, 0))")
+    small = groups.filter(F.col("bytes") * fineness < total).select("group", "bytes", size_class.alias("class"), F.pmod(F.xxhash64("group"), F.lit(4 * parts)).cast("int").alias("part"))
+    counts = small.groupBy("class", "part").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).checkpoint()
+    classes = counts.groupBy("class").agg(F.sum("count").alias("count"), F.sum("bytes").alias("bytes")).orderBy("class").collect()  # bounded by the bits
+    bins = into_shards([(r["bytes"], 1) for r in large] + [(-(-r["bytes"] // r["count"]), r["count"]) for r in classes], shards)
+    of_group = spark.createDataFrame([(r["group"], b[0][0]) for r, b in zip(large, bins[: len(large)], strict=True)], "group binary, shard int")
+    of_class = spark.createDataFrame([(r["class"], [x for x, _ in b], list(accumulate(n for _, n in b))) for r, b in zip(classes, bins[len(large) :], strict=True)], "class long, shards array<int>, ends array<long>")
+
+    # the rank of a small group in its class, counted over parts, tells its shard
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("class", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    ranked = small.withColumn("rank", F.row_number().over(Window.partitionBy("class", "part").orderBy("group")) - 1).join(starts, ["class", "part"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("start")).join(F.broadcast(of_class), "class")
+    ranked = ranked.select("group", F.expr("shards[size(filter(ends, e -> e <= rank))]").alias("shard"))
+    own = F.broadcast(of_group)
+    # rows of large groups stay out of the shuffle
+    placed = rows.join(own, "group").unionByName(rows.join(own, "group", "left_anti").join(ranked, "group").select("group", *rows.drop("group").columns, "shard"))
+    placed = placed.select("doc_id", "size", "text_crc32", "shard")
+
     placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(4 * parts)).cast("int"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

@@ -160,6 +160,21 @@ def test_sharding(spark, fineness):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_runs_are_placed_as_their_items():
+    rng = random.Random(6)
+    for _ in range(30):
+        runs = [(s, rng.randint(1, 40)) for s in rng.sample(range(1, 90), rng.randint(0, 60))]
+        got = sharding.best_fit_runs(runs, 100)
+        one_by_one = sharding.best_fit_decreasing([s for s, n in runs for _ in range(n)], 100)
+        assert sorted((s, b) for (s, _), placed in zip(runs, got) for b, n in placed for _ in range(n)) == sorted(zip([s for s, n in runs for _ in range(n)], one_by_one))
+
+
+def test_small_groups_are_packed_by_their_own_sizes(spark):
+    docs = spark.createDataFrame([(i, f"{i:05}" + "x" * (994 if i % 2 else 2994)) for i in range(800)], "doc_id long, text string")
+    sizes = [r[1] for r in sharding.shard(docs, fineness=40).groupBy("shard").sum("size").collect()]
+    assert sizes == [200_000] * 8
+
+
 def test_sharding_is_even(spark):
     rows = sharding.shard(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("shard").sum("size").collect()
     sizes = [r[1] for r in rows]
