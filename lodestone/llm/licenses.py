@@ -53,7 +53,7 @@ def base(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_base", F.regexp_count("p", F.lit(pattern)).cast("long"))
     some = F.col("n_base") > 0
     first = F.when(some, spaces(F.substring("p", F.lit(1), F.regexp_instr("p", F.lit(pattern)))) - 1)
-    last = F.when(some, spaces(F.regexp_extract("p", f"^(.*){pattern}", 1)))
+    last = F.when(some, spaces(F.regexp_extract("p", f"(?s)^(.*){pattern}", 1)))
     names = F.create_map(*(F.lit(x) for kv in PHRASES.items() for x in kv))
     labels = F.when(some, F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("p", F.lit(pattern), F.lit(1)), lambda m: F.element_at(names, m))))).otherwise(F.array().cast("array<string>"))
     n_words = F.when(F.col("p") == "  ", F.lit(0).cast("long")).otherwise(spaces(F.col("p")) - 1)

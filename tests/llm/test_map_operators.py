@@ -190,6 +190,12 @@ def test_licenses(spark):
     assert [(r.n_words, r.labels, r.score) for r in empty] == [(0, "", 0.0)] * 3
 
 
+@pytest.mark.parametrize("odd", ["\u2028", "\u2029", "\x85"])
+def test_last_phrase_behind_a_line_separator(spark, odd):
+    r = licenses.scan(spark.createDataFrame([(1, f"a{odd} b MIT License c")], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (5, 1, 2, 2)
+
+
 def test_url_filters_by_shuffle_as_by_broadcast(spark):
     pages = spark.createDataFrame([(i, u, f"2024-{1 + i % 12:02}-15") for i, u in enumerate(["http://a.b.org/x/y?z", "https://u@b.org:80/", "ftp://c.org", "none", None, "http://A.B.ORG/X"] * 12)], "page_id long, url string, fetched_on string")
     entries = spark.createDataFrame([("b.org", "block", "2024-03-01"), ("b.org", "allow", "2024-06-01"), ("a.b.org/x", "block", "2024-09-01"), ("b.org", "block", "2024-06-01"), (None, "block", "2024-01-01")], "pattern string, action string, listed_on string")
