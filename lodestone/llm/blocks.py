@@ -9,10 +9,15 @@ equal windows have the same anchor at the same place. Only windows whose anchor
 ``repeated_anchors`` finds those by ranges of the hash: each block sends the sorted anchors of a range once, packed;
 the range's task answers each block with a bitmap. A range's task holds about RANGE anchors, at most one for each
 block and anchor.
+
+Whole copies: of documents with the same text only the one of the least id can be the first of anything, so the others
+are known as copies beforehand (``whole_copies``) and send no anchors: a text that a third of all rows share is then one
+text. Each block sends a text once, and grouped minima are combined before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,7 +52,7 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes | memoryview) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
 
@@ -56,16 +61,51 @@ def stretch(data: bytes) -> bytes:
 
 
 def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """block, size, k_id and k_th (packed), ends (packed, of the texts), z (the texts); null text counts as empty."""
+    """block, size, k_id, k_th and names (packed; a name is 128 bits of a hash of the text), ends (packed, of the texts),
+    z (the texts); null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=size):
                 data, offsets = binary_buffers(part["text"])
-                keys = [pack(part[c].to_numpy()) for c in ("k_id", "k_th")]
-                yield pa.RecordBatch.from_arrays([pa.array([len(data)]), *(pa.array([x], pa.binary()) for x in (*keys, pack(offsets), squeeze(data.tobytes())))], ["size", "k_id", "k_th", "ends", "z"])
+                raw = memoryview(data)
+                named = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+                packed = [pack(part[c].to_numpy()) for c in ("k_id", "k_th")] + [pack(np.frombuffer(named, dtype=U64)), pack(offsets), squeeze(raw)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(data)]), *(pa.array([x], pa.binary()) for x in packed)], ["size", "k_id", "k_th", "names", "ends", "z"])
+
+    kind = "size long, k_id binary, k_th binary, names binary, ends binary, z binary"
+    return materialize(keyed(docs).mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id()))
+
+
+def whole_copies(blocks: DataFrame) -> DataFrame:
+    """(block, heads): of the block's texts that stand elsewhere too, the name and the least id of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k_id, (one, two) = unpack(batch["k_id"][i].as_py(), np.int64), _names(batch, i)
+                by = np.lexsort((k_id, two, one))
+                k_id, one, two = k_id[by], one[by], two[by]
+                at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+                columns = [np.full(len(at), batch["block"][i].as_py()), one[at].view(np.int64), two[at].view(np.int64), k_id[at], np.diff(np.append(at, len(k_id)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "h1", "h2", "low", "n"])
+
+    rows = blocks.select("block", "k_id", "names").mapInArrow(run, "block long, h1 long, h2 long, low long, n long")
+    heads = rows.groupBy("h1", "h2").agg(F.min("low").alias("head"), F.sum("n").alias("n")).filter("n > 1").select("h1", "h2", "head")
+    return materialize(rows.join(heads, ["h1", "h2"]).groupBy("block").agg(F.collect_list(F.struct("h1", "h2", "head")).alias("heads")))
+
+
+def _names(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return unpack(batch["names"][i].as_py(), U64).reshape(-1, 2).T
 
-    return materialize(keyed(docs).mapInArrow(run, "size long, k_id binary, k_th binary, ends binary, z binary").withColumn("block", F.monotonically_increasing_id()))
+
+def copies(batch: pa.RecordBatch, i: int, k_id: np.ndarray) -> np.ndarray:
+    """Which documents of the block in a row of a batch (with names and heads) are copies of one with a smaller id."""
+    heads = {(h["h1"], h["h2"]): h["head"] for h in batch["heads"][i].as_py() or ()}
+    if not heads:
+        return np.zeros(len(k_id), dtype=bool)
+    one, two = _names(batch, i).view(np.int64).tolist()
+    return np.array([heads.get((a, b), k) < k for a, b, k in zip(one, two, k_id.tolist(), strict=True)], dtype=bool)
 
 
 def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -76,6 +116,11 @@ def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Ar
     return unpack(at("k_id"), np.int64), unpack(at("k_th"), np.int64), texts
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of each range, one range after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - start, size)
+
+
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
     """For each run of width consecutive values, where its least is (the first of equal ones)."""
     n = len(values) - width + 1
@@ -112,10 +157,10 @@ def cut_hash(values: np.ndarray) -> np.ndarray:
     return mix(values) >> U64(64 - BITS)
 
 
-def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.Array], np.ndarray], per_byte: float, hot: int) -> tuple[DataFrame, np.uint64, bool]:
-    """(block, answers), the shift that makes a hash's range, and whether any anchor is hot. answers: for each range two
+def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.RecordBatch, int], np.ndarray], per_byte: float, hot: int) -> tuple[DataFrame, np.uint64, bool]:
+    """(block, answers, hot), the shift that makes a hash's range, and whether any anchor is hot. answers: for each range two
     packed bit arrays over the block's distinct sorted anchors of the range: which occur twice or more, and which of
-    those more than hot times. anchors: the hashes of a block's texts."""
+    those more than hot times; hot: whether the block has any of the latter. anchors: the hashes of the block in a row of a batch."""
     total = blocks.agg(F.sum("size")).first()[0] or 0
     width = max(4, int(np.ceil(np.log2(max(1.0, total * per_byte / RANGE)))))
     shift = U64(BITS - width)
@@ -123,29 +168,30 @@ def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.Array], np.ndarray
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values, counts = np.unique(cut_hash(anchors(opened(batch, i)[2])), return_counts=True)
+                values, counts = np.unique(cut_hash(anchors(batch, i)), return_counts=True)
                 part = (values >> shift).astype(np.int64)
                 edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
-                stop = np.append(edge[1:], len(part))
-                packed = [pack(values[a:b]) for a, b in zip(edge, stop, strict=True)] if len(part) else []
-                times = [pack(np.minimum(counts[a:b], 1 << 30).astype(np.int32)) for a, b in zip(edge, stop, strict=True)] if len(part) else []
-                yield pa.RecordBatch.from_arrays([pa.array([batch["block"][i].as_py()] * len(packed), pa.int64()), pa.array(part[edge] if len(part) else part, pa.int64()), pa.array(packed, pa.binary()), pa.array(times, pa.binary())], ["block", "part", "packed", "times"])
+                stop = np.append(edge, len(part))[1:]
+                packed = [pack(values[a:b]) for a, b in zip(edge, stop, strict=True)]
+                times = [pack(np.minimum(counts[a:b], 1 << 30).astype(np.int32)) for a, b in zip(edge, stop, strict=True)]
+                columns = [pa.array([batch["block"][i].as_py()] * len(packed), pa.int64()), pa.array(part[edge], pa.int64()), pa.array(packed, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "part", "packed", "times"])
 
     def answer(table: pa.Table) -> pa.Table:
         own = [unpack(x.as_py(), U64) for x in table["packed"]]
-        times = np.concatenate([unpack(x.as_py(), np.int32) for x in table["times"]]).astype(np.int64)
+        times = np.concatenate([unpack(x.as_py(), np.int32) for x in table["times"]])
         values, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        count = np.zeros(len(values), dtype=np.int64)
-        np.add.at(count, inverse, times)
+        count = np.bincount(inverse, weights=times, minlength=len(values))
         twice, often = (count > 1)[inverse], (count > hot)[inverse]
         ends = np.cumsum([len(x) for x in own])
         bits = [squeeze(np.packbits(np.stack([twice[e - len(x) : e], often[e - len(x) : e]])).tobytes()) for x, e in zip(own, ends, strict=True)]
-        return pa.table({"block": table["block"].combine_chunks(), "part": table["part"].combine_chunks(), "bits": pa.array(bits, pa.binary()), "hot": pa.array([bool(often.any())] * len(own))})
+        some = [bool(often[e - len(x) : e].any()) for x, e in zip(own, ends, strict=True)]
+        return pa.table({"block": table["block"].combine_chunks(), "part": table["part"].combine_chunks(), "bits": pa.array(bits, pa.binary()), "hot": pa.array(some)})
 
-    sent = blocks.select("block", "k_id", "k_th", "ends", "z").mapInArrow(send, "block long, part long, packed binary, times binary")
+    sent = blocks.mapInArrow(send, "block long, part long, packed binary, times binary")
     answers = sent.groupBy("part").applyInArrow(answer, "block long, part long, bits binary, hot boolean")
     by_block = materialize(answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("answers"), F.max("hot").alias("hot")))
-    return by_block.select("block", "answers"), shift, not by_block.filter("hot").isEmpty()
+    return by_block, shift, not by_block.filter("hot").isEmpty()
 
 
 def chosen(values: np.ndarray, answers: list[dict] | None, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +208,16 @@ def chosen(values: np.ndarray, answers: list[dict] | None, shift: np.uint64) ->
 
 def span_table(block: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     """Spans packed by block."""
-    order = np.argsort(block, kind="stable")
-    ids, at = np.unique(block[order], return_index=True)
+    if len(block):
+        by = np.lexsort((start, doc, block))  # overlapping spans of a document as one
+        block, doc, start, end = block[by], doc[by], start[by], end[by]
+        place = (np.cumsum(np.concatenate([[0], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])]))).astype(np.int64) * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + place)
+        new = np.concatenate([[True], (start + place)[1:] > reach[:-1]])
+        at = np.flatnonzero(new)
+        block, doc, start, end = block[at], doc[at], start[at], (reach - place)[np.append(at, len(new))[1:] - 1]
+    order = np.arange(len(block))
+    ids, at = np.unique(block, return_index=True)
     stop = np.append(at, len(order))[1:]
     packed = [pack(np.concatenate([x[order[a:b]] for x in (doc, start, end)]).astype(np.int64)) for a, b in zip(at, stop, strict=True)]
     return pa.table({"block": pa.array(ids, pa.int64()), "spans": pa.array(packed, pa.binary())})

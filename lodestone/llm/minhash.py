@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.storage import materialize
-from lodestone.llm.text import NULL_ID, Words, keyed, longs, mix, rolling, slices
+from lodestone.llm.text import NULL_ID, Words, keyed, keyed_struct, mix, rolling, slices
 
 U64 = np.uint64
 WORDS, PERCENT = 5, 80
@@ -175,10 +175,11 @@ def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     """One row of each component, that with its least id, with all columns of docs; rows without shingles all stay."""
     own = F.when(F.col("k_id") != NULL_ID, F.col("k_id"))
     kept = classify(docs, k, percent).filter(own.eqNullSafe(F.col("component"))).groupBy("k_id", "k_th").agg(F.max("n_shingles").alias("k_n"), F.max("root").alias("k_root"))
-    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k_id"), F.xxhash64("text").alias("k_th")).join(kept, ["k_id", "k_th"])
+    tagged = keyed_struct(docs).join(kept, ["k_id", "k_th"])
     # of rows that repeat id and text, and of texts of one id that are near-duplicates of each other, one stays
     empty, full = tagged.filter("k_n = 0"), tagged.filter("k_n > 0")
-    return full.dropDuplicates(["k_id", "k_root"]).unionByName(empty).select(*docs.columns)
+    out = full.dropDuplicates(["k_id", "k_root"]).unionByName(empty)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

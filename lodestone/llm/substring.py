@@ -6,11 +6,13 @@ the reversed words to their left are built level by level, a node being (its par
 words is a pair of nodes, 20 - j deep to the right and j deep to the left: pairs with two or more leaves are the deep
 internal nodes, that is the repeats. The node's first leaf stays, the windows of the others are removed.
 
-A prefix with more than ``hot`` suffixes does not go into a bin: its suffixes are split further, by their full 20 words,
-and each such node is a grouped minimum that is combined before the shuffle, so no task ever holds a hot prefix.
+A document whose whole text a smaller id has loses all its windows and takes no part (see blocks). A prefix with more than
+``hot`` suffixes does not go into a bin: its suffixes are split further, by their full 20 words, and each such node is a
+grouped minimum; a block decides all of its windows but the first itself and sends that one.
 
-Null or empty text: no words. Repeated rows (id and text) are one document, of which each row keeps the same; texts of
-one id are ordered by their key. A null id comes first. An empty table gives an empty result.
+Words are known by 64 bits of a hash. Null or empty text: no words. Repeated rows (id and text) are one document, of which
+each row keeps the same; texts of one id are ordered by their key. A null id comes first. A very long text is a block of its
+own, handled whole. An empty table gives an empty result. Other columns may have any names: ``strip`` carries them in one struct.
 """
 
 from __future__ import annotations
@@ -23,21 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import chosen, coverage, make_blocks, opened, pack, repeated_anchors, runs_of_windows, span_table, squeeze, stretch, unpack
+from lodestone.llm.blocks import chosen, copies, coverage, make_blocks, opened, pack, ranges, repeated_anchors, runs_of_windows, span_table, unpack, whole_copies
 from lodestone.llm.storage import materialize
-from lodestone.llm.text import NULL_ID, Words, mix, rolling
+from lodestone.llm.text import NULL_ID, Words, keyed_struct, mix, rolling
 
 U64 = np.uint64
 WINDOW, GRAM = 20, 6
 #: Suffixes of one prefix beyond which it is split by full windows; suffixes that a bin is to hold.
-HOT, BIN = 50_000, 150_000
+HOT, BIN = 250_000, 150_000
 
 
-def _anchors(texts: pa.Array, window: int, gram: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    w = Words(texts)
-    grams = rolling(w.hashes(), gram)
-    at, lo, hi = runs_of_windows(grams, w.room(), window, gram)
-    return w, grams[at], at, lo, hi
+def _anchors(batch: pa.RecordBatch, i: int, window: int, gram: int) -> tuple:
+    """The ids, the words and their hashes, copies, and of each anchor its hash, place, first and last window."""
+    k_id, k_th, texts = opened(batch, i)
+    w, gone = Words(texts), copies(batch, i, k_id)
+    h = w.hashes()
+    grams = rolling(h, gram)
+    at, lo, hi = runs_of_windows(grams, np.where(np.repeat(gone, w.count), 0, w.room()), window, gram)
+    return k_id, k_th, w, h, gone, grams[at], at, lo, hi
 
 
 def trees(key: np.ndarray, words: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, order: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,48 +77,43 @@ def trees(key: np.ndarray, words: np.ndarray, first: np.ndarray, size: np.ndarra
 
 
 def _contexts(window: int, gram: int, bins: int, shift: np.uint64):
-    """(block, bin, meta, z): the contexts of a block's repeated anchors for one bin; hot ones as windows, bin -1."""
+    """(block, bin, meta, names, words): the contexts of a block's repeated anchors for one bin, their words by number, and the
+    words' hashes. Hot anchors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                k_id, k_th, texts = opened(batch, i)
-                w, key, at, lo, hi = _anchors(texts, window, gram)
+                k_id, k_th, w, h, _, key, at, lo, hi = _anchors(batch, i, window, gram)
                 twice, often = chosen(key, batch["answers"][i].as_py(), shift)
-                doc = np.repeat(np.arange(len(w)), w.count)[at]
+                doc = w.doc_of_word()[at]
                 where = (mix(key ^ U64(0x51ED270B)) >> U64(33)).astype(np.int64) % bins
-                where[often] = -1
-                own = np.flatnonzero(twice)
+                own = np.flatnonzero(twice & ~often)
                 own = own[np.argsort(where[own], kind="stable")]
                 edge = np.flatnonzero(np.concatenate([[True], where[own][1:] != where[own][:-1]])) if len(own) else own
                 out = []
-                for a, b in zip(edge, np.append(edge[1:], len(own)), strict=True) if len(own) else ():
+                for a, b in zip(edge, np.append(edge, len(own))[1:], strict=True):
                     c = own[a:b]
-                    meta = [key[c].view(np.int64), k_id[doc[c]], k_th[doc[c]], doc[c], lo[c] - w.first[doc[c]], hi[c] + window - lo[c], at[c] - lo[c]]
-                    text = b"\n".join(w.raw[s:e].tobytes().replace(b"\n", b" ") for s, e in zip(w.start[lo[c]], w.end[hi[c] + window - 1], strict=True))
-                    out.append((batch["block"][i].as_py(), int(where[c[0]]), pack(np.concatenate(meta).astype(np.int64)), squeeze(text)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bin", "meta", "z"])
+                    size = hi[c] + window - lo[c]
+                    meta = [key[c].view(np.int64), k_id[doc[c]], k_th[doc[c]], doc[c], lo[c] - w.first[doc[c]], size, at[c] - lo[c]]
+                    names, words = np.unique(h[ranges(lo[c], size)], return_inverse=True)
+                    out.append((batch["block"][i].as_py(), int(where[c[0]]), pack(np.concatenate(meta).astype(np.int64)), pack(names), pack(words.astype(np.int32))))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["block", "bin", "meta", "names", "words"])
 
     return run
 
 
-def _read(meta: list, z: list) -> tuple[np.ndarray, Words]:
-    """The meta rows of some parts side by side, and the words of their contexts."""
-    rows = np.concatenate([unpack(m, np.int64).reshape(7, -1) for m in meta], axis=1)
-    return rows, Words(pa.array([b"\n".join(stretch(x) for x in z)], pa.large_binary()))
-
-
 def _bin(window: int):
     def run(table: pa.Table) -> pa.Table:
-        rows, w = _read([x.as_py() for x in table["meta"]], [x.as_py() for x in table["z"]])
-        counts = [len(unpack(x.as_py(), np.int64)) // 7 for x in table["meta"]]
-        block = np.repeat(table["block"].to_numpy(), counts)
-        key, k_id, k_th, doc, lo, size, anchor = rows
+        metas = [unpack(x.as_py(), np.int64).reshape(7, -1) for x in table["meta"]]
+        words = np.concatenate([unpack(x.as_py(), U64)[unpack(y.as_py(), np.int32)] for x, y in zip(table["names"], table["words"], strict=True)])
+        block = np.repeat(table["block"].to_numpy(), [m.shape[1] for m in metas])
+        key, k_id, k_th, doc, lo, size, anchor = np.concatenate(metas, axis=1)
         place = np.lexsort((lo + anchor, k_th, k_id))
         same = (np.diff(k_id[place]) == 0) & (np.diff(k_th[place]) == 0) & (np.diff((lo + anchor)[place]) == 0)
         order = np.empty(len(place), dtype=np.int64)
         order[place] = np.concatenate([[0], np.cumsum(~same)]) if len(place) else 0
-        which, start = trees(key.view(U64), w.hashes(), np.cumsum(size) - size, size, anchor, order, window)
+        which, start = trees(key.view(U64), words, np.cumsum(size) - size, size, anchor, order, window)
         by = np.lexsort((start, which))
         which, start = which[by], start[by]
         new = np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)]) if len(which) else np.zeros(0, bool)
@@ -124,54 +124,64 @@ def _bin(window: int):
     return run
 
 
-def _windows(window: int):
-    """Each window of the hot suffixes as a row."""
+def _hot_windows(window: int, gram: int, shift: np.uint64):
+    """(block, h1, h2, k_id, k_th, doc, start, later) of the windows of a block's hot anchors: later where the same window stands
+    earlier in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, w = _read([batch["meta"][i].as_py()], [batch["z"][i].as_py()])
-                _, k_id, k_th, doc, lo, size, _ = rows
-                h, first = w.hashes(), np.cumsum(size) - size
-                one, two = rolling(h, window), rolling(mix(h ^ U64(0x2545F4914F6CDD1D)), window)
-                n = size - window + 1
-                which = np.repeat(np.arange(len(size)), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = first[which] + step
-                columns = [np.full(len(at), batch["block"][i].as_py()), one[at].view(np.int64), two[at].view(np.int64), k_id[which], k_th[which], doc[which], lo[which] + step]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "h1", "h2", "k_id", "k_th", "doc", "start"])
+                k_id, k_th, w, h, _, key, _, lo, hi = _anchors(batch, i, window, gram)
+                _, often = chosen(key, batch["answers"][i].as_py(), shift)
+                own = np.flatnonzero(often)
+                at = ranges(lo[own], hi[own] - lo[own] + 1)
+                one, two = rolling(h, window)[at], rolling(mix(h ^ U64(0x2545F4914F6CDD1D)), window)[at]
+                doc = w.doc_of_word()[at]
+                start = at - w.first[doc]
+                by = np.lexsort((start, k_th[doc], k_id[doc], two, one))
+                one, two, doc, start = one[by], two[by], doc[by], start[by]
+                new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(at)]
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                same = (k_id[doc] == k_id[doc][first]) & (k_th[doc] == k_th[doc][first]) & (start == start[first])
+                columns = [np.full(len(at), batch["block"][i].as_py()), one.view(np.int64), two.view(np.int64), k_id[doc], k_th[doc], doc, start, ~same]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "h1", "h2", "k_id", "k_th", "doc", "start", "later"])
 
     return run
 
 
+_PACKED = ["block", "size", "k_id", "k_th", "names", "ends", "z"]
+
+
 def repeats(blocks: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bin_size: int = BIN) -> DataFrame:
-    """(block, spans): the word spans of each block's documents that earlier windows have too, packed."""
-    bits, shift, any_hot = repeated_anchors(blocks, lambda texts: _anchors(texts, window, gram)[1], 1 / 40, hot)
+    """(block, spans): the word spans of each block's documents (with heads, see whole_copies) that earlier windows have too, packed."""
+    bits, shift, any_hot = repeated_anchors(blocks, lambda batch, i: _anchors(batch, i, window, gram)[5], 1 / 40, hot)
     total = blocks.agg(F.sum("size")).first()[0] or 0
     # at most every 40th byte begins a suffix, so a bin holds bin_size of them or fewer, but for one hot prefix at most
     bins = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / 40 / bin_size) + 1)
-    parts = blocks.join(bits, "block").select("block", "k_id", "k_th", "ends", "z", "answers").mapInArrow(_contexts(window, gram, bins, shift), "block long, bin long, meta binary, z binary")
-    cold = parts.filter("bin >= 0").groupBy("bin").applyInArrow(_bin(window), "block long, spans binary")
+    parts = blocks.join(bits, "block").mapInArrow(_contexts(window, gram, bins, shift), "block long, bin long, meta binary, names binary, words binary")
+    cold = parts.groupBy("bin").applyInArrow(_bin(window), "block long, spans binary")
     if not any_hot:
         return cold
-    rows = parts.filter("bin < 0").mapInArrow(_windows(window), "block long, h1 long, h2 long, k_id long, k_th long, doc long, start long")
-    heads = rows.groupBy("h1", "h2").agg(F.min(F.struct("k_id", "k_th", "start")).alias("head"))
-    later = rows.join(heads, ["h1", "h2"]).filter(F.struct("k_id", "k_th", "start") > F.col("head")).select("block", "doc", "start")
+    kind = "block long, h1 long, h2 long, k_id long, k_th long, doc long, start long, later boolean"
+    rows = materialize(blocks.join(bits.filter("hot"), "block").mapInArrow(_hot_windows(window, gram, shift), kind))
+    place, first = F.struct("k_id", "k_th", "start"), rows.filter("NOT later")
+    heads = first.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("last")).filter("head < last").drop("last")
+    gone = first.join(heads, ["h1", "h2"]).filter(place > F.col("head")).select("block", "doc", "start").unionByName(rows.filter("later").select("block", "doc", "start"))
 
     def packed(table: pa.Table) -> pa.Table:
         block, doc, start = (table[c].to_numpy() for c in ("block", "doc", "start"))
         return span_table(block, doc, start, start + window)
 
-    return cold.unionByName(later.groupBy("block").applyInArrow(packed, "block long, spans binary"))
+    return cold.unionByName(gone.groupBy("block").applyInArrow(packed, "block long, spans binary"))
 
 
-def _results(texts_too: bool):
+def _results(texts_too: bool, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 k_id, k_th, texts = opened(batch, i)
                 w = Words(texts)
-                gone = coverage(batch["spans"][i].as_py(), w.first, len(w.start))
+                gone = coverage(batch["spans"][i].as_py(), w.first, len(w.start)) | np.repeat(copies(batch, i, k_id) & (w.count >= window), w.count)
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), w.first[:-1]) * (w.count > 0) if len(w) else w.count
                 sha, kept = [], []
                 for d, text in enumerate(texts):
@@ -190,10 +200,10 @@ def _results(texts_too: bool):
 def examine(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bin_size: int = BIN, texts_too: bool = False) -> DataFrame:
     """For each row: k_id, k_th, n_words, n_removed, kept_sha256, kept_text (if asked for, and any word goes)."""
     blocks = make_blocks(docs)
-    spans = repeats(blocks, window, gram, hot, bin_size)
-    spans = materialize(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")))
-    joined = blocks.join(spans, "block", "left").select("k_id", "k_th", "ends", "z", "spans")
-    return joined.mapInArrow(_results(texts_too), "k_id long, k_th long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    blocks = blocks.join(whole_copies(blocks), "block", "left").select(*_PACKED, "heads")
+    spans = materialize(repeats(blocks, window, gram, hot, bin_size).groupBy("block").agg(F.collect_list("spans").alias("spans")))
+    out = "k_id long, k_th long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return blocks.join(spans, "block", "left").mapInArrow(_results(texts_too, window), out)
 
 
 def report(docs: DataFrame, **options: int) -> DataFrame:
@@ -204,11 +214,13 @@ def strip(docs: DataFrame, **options: int) -> DataFrame:
     """docs with the repeated words taken out of the texts: what is left is joined by one space; other texts stay as they
     are. n_chars, where there is such a column, follows."""
     changed = examine(docs, texts_too=True, **options).filter("n_removed > 0").select("k_id", "k_th", "kept_text").dropDuplicates(["k_id", "k_th"])
-    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k_id"), F.xxhash64("text").alias("k_th")).join(changed, ["k_id", "k_th"], "left")
-    out = tagged.withColumn("text", F.coalesce("kept_text", "text"))
+    nested = keyed_struct(docs).join(changed, ["k_id", "k_th"], "left")
+    text = F.coalesce("kept_text", F.col("row")["text"])
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        length = F.when(F.col("kept_text").isNull(), columns["n_chars"]).otherwise(F.length(text))
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return nested.select(*(x.alias(c) for c, x in columns.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,12 +55,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def sums_of(data: np.ndarray) -> np.ndarray:
+    """What ``hash_between`` needs of data: sums over all of its prefixes."""
+    total = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum(mix(np.arange(256, dtype=U64) + U64(1))[data] * powers(_BASE, len(data)), out=total[1:])
+    return total
+
+
+def hash_between(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((total[end] - total[start]) * powers(_BASE_INVERSE, len(total))[start] + (end - start).astype(U64) * _STEP)
+
+
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum(mix(np.arange(256, dtype=U64) + U64(1))[data] * powers(_BASE, n), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_BASE_INVERSE, n + 1)[start] + (end - start).astype(U64) * _STEP)
+    return hash_between(sums_of(data), start, end)
+
+
+def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """spans_hash of data[i : i + n] at each of the len(data) - n + 1 starts."""
+    if len(data) < n:
+        return np.zeros(0, dtype=U64)
+    total = sums_of(data)
+    return mix((total[n:] - total[:-n]) * powers(_BASE_INVERSE, len(data) - n + 1) + np.array([n], dtype=U64) * _STEP)
+
+
+def window_hashes_at(data: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """The same at some starts, in parts of data, so that no array is much longer than a slice of texts."""
+    out = np.empty(len(start), dtype=U64)
+    by = np.argsort(start, kind="stable")
+    edge = np.flatnonzero(np.diff(np.concatenate([[-1], start[by] // SLICE_BYTES])))
+    for a, b in zip(edge, np.append(edge, len(start))[1:], strict=True):
+        own = by[a:b]
+        lo, hi = start[own[0]], start[own[-1]] + n
+        out[own] = spans_hash(data[lo:hi], start[own] - lo, start[own] - lo + n)
+    return out
 
 
 def chars_hash(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -173,6 +201,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k_id"), F.xxhash64("text").alias("k_th"), "text")
 
 
+def keyed_struct(docs: DataFrame) -> DataFrame:
+    """(k_id, k_th, row): the inner key of each row and the row itself in one struct, whatever its columns are called."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k_id"), F.xxhash64("text").alias("k_th"), row)
+
+
 def longs(values: np.ndarray) -> pa.Array:
     """An Arrow column of longs from unsigned or signed values."""
     return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == U64 else values.astype(np.int64))

@@ -164,13 +164,12 @@ def test_merged_intervals_against_sorted_suffixes():
     for strings in shards:
         text = b"".join(s + b"\xff" for s in strings)
         made.append((text, *suffixes.shard_transform(np.frombuffer(text, dtype=np.uint8), np.array([len(s) + 1 for s in strings]))))
-    shard, interval = suffixes.merged_intervals([m[1] for m in made], 6)
-    rows, seen = [0] * 4, {}
-    for s, g in zip(shard.tolist(), interval.tolist(), strict=True):
-        text, _, place = made[s]
-        at = int(place[rows[s]])
-        rows[s] += 1
-        prefix = text[at : at + 6]
+    interval = suffixes.merged_intervals([m[1] for m in made], 6).tolist()
+    seen, at = {}, [(text, int(p)) for text, _, place in made for p in place]
+    for (text, p), g in zip(at, interval, strict=True):
+        prefix = text[p : p + 6]
         if b"\xff" not in prefix:
             assert seen.setdefault(g, prefix) == prefix
+    by_interval = [seen[g] for g in sorted(seen)]
+    assert by_interval == sorted(by_interval)
     assert len(set(seen.values())) == len(seen) > 40
