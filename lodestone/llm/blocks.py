@@ -1,7 +1,7 @@
 """Blocks of whole documents, and the search for what repeats between them.
 
-A block is one row: about a megabyte of texts, compressed, with the keys of its documents. Joining blocks moves less
-than joining documents, and what a block has to say to others travels as a few packed arrays instead of a row for
+A block is one row: about a megabyte of texts, compressed, with the keys of its documents. The table of blocks is bucketed, so
+joining it with answers to its blocks moves the answers only, and what a block has to say to others travels as a few packed arrays instead of a row for
 each position.
 
 Anchors: a window of W consecutive symbols (words or bytes) is known by the least hash among its k-symbol grams, so
@@ -17,6 +17,7 @@ text. Each block sends a text once, and grouped minima are combined before the s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.storage import materialize
+from lodestone.llm.storage import bucketed, materialize
 from lodestone.llm.text import binary_buffers, keyed, mix, slices
 
 U64 = np.uint64
@@ -38,26 +39,32 @@ BITS = 48
 _CHUNK, _AT = 1 << 23, U64((1 << 24) - 1)
 
 
+@functools.cache
+def _tools() -> tuple:
+    """One compressor for arrays, one for texts and a decompressor for each process."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(array: np.ndarray) -> bytes:
     """A compressed array, byte by byte of its elements' places, so that sorted or small values shrink."""
     raw = np.ascontiguousarray(array)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T).tobytes()) if raw.size else b""
+    return _tools()[0].compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T).tobytes()) if raw.size else b""
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     if not data:
         return np.zeros(0, dtype=kind)
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(size, -1)
+    planes = np.frombuffer(_tools()[2].decompress(data), dtype=np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def squeeze(data: bytes | memoryview) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return _tools()[1].compress(data)
 
 
 def stretch(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _tools()[2].decompress(data)
 
 
 def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
@@ -74,7 +81,7 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([len(data)]), *(pa.array([x], pa.binary()) for x in packed)], ["size", "k_id", "k_th", "names", "ends", "z"])
 
     kind = "size long, k_id binary, k_th binary, names binary, ends binary, z binary"
-    return materialize(keyed(docs).mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id()))
+    return bucketed(keyed(docs).mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id()), "block")
 
 
 def whole_copies(blocks: DataFrame) -> DataFrame:
@@ -223,6 +230,17 @@ def span_table(block: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.nd
     return pa.table({"block": pa.array(ids, pa.int64()), "spans": pa.array(packed, pa.binary())})
 
 
+def hot_rows(later: np.ndarray, start: np.ndarray, window: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A block's windows as rows: those that are not later ones with their columns and start, the spans of the later ones in one row."""
+    names, kinds = [*columns, "start", "spans"], [pa.int64()] * (len(columns) + 1) + [pa.binary()]
+    first = [*(c[~later] for c in columns.values()), start[~later]]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, first), pa.nulls(len(first[0]), pa.binary())], names)
+    if later.any():
+        table = span_table(columns["block"][later], columns["doc"][later], start[later], start[later] + window)
+        row = {"block": table["block"][0].as_py(), "spans": table["spans"][0].as_py()}
+        yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(names, kinds, strict=True)], names)
+
+
 def coverage(packed: list[bytes], first: np.ndarray, total: int) -> np.ndarray:
     """Which symbols of a block the spans cover; a span's places count from its document's first symbol."""
     change = np.zeros(total + 1, dtype=np.int64)

@@ -36,7 +36,7 @@ U64 = np.uint64
 HEAD, CLASSES, SWEEPS, SHARE_WEIGHT = 50_000, 32, 16, 10.0
 QUARTERS = 4
 #: Distinct words of blocks that a range's task is to hold.
-RANGE = 2_000_000
+RANGE = 500_000
 END = U64(1)  # the hash that stands for the end token
 
 
@@ -136,7 +136,8 @@ def frequent(vocabulary: DataFrame, least: float) -> tuple[np.ndarray, np.ndarra
 
 
 def pair_counts(blocks: DataFrame, head: np.ndarray, folds: int, fold: int, parts: int) -> DataFrame:
-    """(part, pairs, counts): bigrams of frequent words in the training text; a pair is first * 2**32 + second."""
+    """(part, pairs, counts): bigrams of frequent words in the training text, each once for either word; a pair is
+    word * 2**33 + side * 2**32 + neighbour, side 0 for one on the left. A part has all pairs of its words."""
     known = Classes(head, head, head, head)
 
     def send(batch: pa.RecordBatch, i: int) -> list[tuple]:
@@ -145,8 +146,9 @@ def pair_counts(blocks: DataFrame, head: np.ndarray, folds: int, fold: int, part
         before = np.concatenate([[-1], at[:-1]])
         before[first[:-1][first[:-1] < len(at)]] = int(known.at(np.array([END]))[0])
         ok = learn & (at >= 0) & (before >= 0)
-        values, counts = np.unique(before[ok] << 32 | at[ok], return_counts=True)
-        part = (values >> 32) % parts
+        right, left = before[ok] << 33 | 1 << 32 | at[ok], at[ok] << 33 | before[ok]
+        values, counts = np.unique(np.concatenate([right, left]), return_counts=True)
+        part = (values >> 33) % parts
         by = np.argsort(part, kind="stable")
         values, counts, part = values[by], counts[by], part[by]
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
@@ -167,17 +169,13 @@ def context_vectors(pairs: DataFrame, of: np.ndarray, classes: int) -> np.ndarra
 
     def some(batch: pa.RecordBatch, i: int) -> list[tuple]:
         p, c = unpack(batch["pairs"][i].as_py(), np.int64), unpack(batch["counts"][i].as_py(), np.int64)
-        a, b = p >> 32, p & 0xFFFFFFFF
-        rows = np.concatenate([(a * 2 + 1) * classes + of[b], (b * 2) * classes + of[a]])
-        values, inverse = np.unique(rows, return_inverse=True)
-        total = np.zeros(len(values), dtype=np.int64)
-        np.add.at(total, inverse, np.concatenate([c, c]))
-        return list(zip(values.tolist(), total.tolist(), strict=True))
+        cell, inverse = np.unique((p >> 32) * classes + of[p & 0xFFFFFFFF], return_inverse=True)
+        return [(pack(cell), pack(np.bincount(inverse, weights=c, minlength=len(cell)).astype(np.int64)))]
 
     out = np.zeros(len(of) * 2 * classes, dtype=np.float64)
-    # a cell of the frequent words' vectors is one row: at most HEAD * 2 * classes small rows
-    for r in pairs.select("pairs", "counts").mapInArrow(_each_block("cell long, n long", some), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
+    # packed cells of the frequent words' vectors: at most HEAD * 2 * classes of them, each in one part only
+    for r in pairs.select("pairs", "counts").mapInArrow(_each_block("cell binary, n binary", some), "cell binary, n binary").collect():
+        out[unpack(r["cell"], np.int64)] = unpack(r["n"], np.int64)
     return out.reshape(len(of), 2, classes)
 
 

@@ -6,15 +6,16 @@ coordinate fills. Values of later rounds never displace earlier ones, so a docum
 t ln t / n rounds, and the number of equal coordinates is concentrated as that of t independent ones.
 
 Documents with the same shingles are one class. Classes that share a band of the sketch are candidates, and every link
-is confirmed on the full sets. No bucket emits all of its pairs: its members are compared with the one that shares most
-bands with others, as the original of edited copies does. What is left are pairs that span components of a bucket; of
-these only the ones go to the full sets whose sketches, four bits of each coordinate, agree in 202 of 288 places or more.
-With 48 bands of 6 rows a pair of similarity 0.8 is missed by the bands with probability 5e-7; its sketches agree in
-234 places on average with a deviation of 6.6, so the second test loses it with probability 1e-6.
+is confirmed on the full sets. No bucket emits its pairs: its members are compared with the one that shares most
+bands with others, as the original of edited copies does. Where a bucket still holds several components, its members'
+sets meet in groups of a bounded size, and every member outside the largest component is held against all others
+there; a group emits one link for a member and another component, so rows stay in proportion to the members.
+With 48 bands of 6 rows a pair of similarity 0.8 shares no band with probability 5e-7; nothing else loses a link.
 
 Null or empty text: no shingles, linked with nothing, kept. A text of fewer words than a shingle is one shingle.
 Repeated rows are one class. A null id comes first among a class's rows but is no component_id where another id is
-in reach; alone it gets component_id null and is kept. An empty table gives an empty result.
+in reach; alone it gets component_id null and is kept. A very long text is a slice of its own, with one sketch as any
+other. An empty table gives an empty result. Other columns may have any names: ``deduplicate`` carries them in one struct.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
@@ -37,8 +38,8 @@ BANDS, ROWS = 48, 6
 _SHIFT = U64(46)
 _MASK = U64((1 << 46) - 1)
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
-#: Coordinates, of 16 in a long, in which the sketches of a pair across components must agree: part of all, and bits of each.
-AGREE, NIBBLES = 0.70, 0x1111111111111111
+#: Shingles that a group of a bucket's members is to hold, and by how many 32 bits of hashes may miscount a pair's.
+GROUP, SLACK = 2_000_000, 2
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -69,26 +70,9 @@ def sketch(s: np.ndarray, t: int, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed_bits(x: np.ndarray) -> np.ndarray:
-    """Four bits of a hash of each coordinate, sixteen in a long."""
-    low = np.zeros(-(-len(x) // 16) * 16, dtype=U64)
-    low[: len(x)] = mix(x) >> U64(60)
-    return (low.reshape(-1, 16) << (U64(4) * np.arange(16, dtype=U64))).sum(axis=1, dtype=U64).view(np.int64)
-
-
-def _differing(x: str, y: str, longs: int) -> Column:
-    """In how many places two packed sketches differ, by bit operations."""
-    total = F.lit(0)
-    for i in range(longs):
-        z = F.get(F.col(x), i).bitwiseXOR(F.get(F.col(y), i))
-        some = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
-        total = total + F.bit_count(some.bitwiseAND(F.lit(NIBBLES)))
-    return total
-
-
 def _sketches(k: int, bands: int, rows: int):
     t = bands * rows
-    schema = pa.schema([("k_id", pa.int64()), ("k_th", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("k_id", pa.int64()), ("k_th", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, 2 * t + 1, dtype=U64) * U64(0xA0761D6478BD642F))
@@ -99,8 +83,8 @@ def _sketches(k: int, bands: int, rows: int):
                 named = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 drawn = [sketch(s, t, seeds) if len(s) else None for s in sets]
                 own = [None if x is None else mix((x.reshape(bands, rows) * weight).sum(axis=1, dtype=U64) ^ mix(np.arange(bands, dtype=U64))).view(np.int64) for x in drawn]
-                bits = [None if x is None else packed_bits(x) for x in drawn]
-                yield pa.RecordBatch.from_arrays([part["k_id"], part["k_th"], pa.array([len(s) for s in sets], pa.int64()), pa.array(named, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(named, pa.binary()), pa.array(own, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["k_id"], part["k_th"], *columns], schema=schema)
 
     return run
 
@@ -124,21 +108,80 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of some classes."""
+    need = classes.select("node", "rep.k_id", "rep.k_th").join(nodes, "node", "left_semi")
+    return rows.join(need, ["k_id", "k_th"]).select("node", "text").dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs(a, b) of classes whose full sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    need = classes.select("node", "rep.k_id", "rep.k_th").join(nodes, "node", "left_semi")
-    texts = rows.join(need, ["k_id", "k_th"]).select("node", "text").dropDuplicates(["node"])
+    texts = texts_of(nodes, classes, rows)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
+def _short_sets(k: int):
+    """(node, n, s): the 32-bit hashes of each class's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique((s >> U64(32)).astype(np.uint32)) for s in shingle_sets(Words(part["text"], lower=True), k)]
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "s"])
+
+    return run
+
+
+def _across(percent: int):
+    """Links between components among the members of one group: of each member outside the largest component, to each other
+    component its most similar member if that is surely a link, else all that may be one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table["node"].to_numpy(), table["root"].to_numpy()
+        sets = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in table["s"]]
+        size = np.array([len(x) for x in sets])
+        _, every = np.unique(np.concatenate(sets), return_inverse=True)
+        first, mark = np.cumsum(size) - size, np.zeros(int(every.max()) + 1, dtype=np.int32)
+        roots, own, count = np.unique(root, return_inverse=True, return_counts=True)
+        links = []
+        for x in np.flatnonzero(own != count.argmax()).tolist():
+            mine = every[first[x] : first[x] + size[x]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[every], first)
+            mark[mine] = 0
+            near = lambda i, d: 100 * (shared[i] + d) >= percent * (size[i] + size[x] - shared[i] - d)
+            others = np.flatnonzero((own != own[x]) & near(slice(None), SLACK))
+            for r in np.unique(own[others]):
+                y = others[own[others] == r]
+                best = y[np.argmax(shared[y] / (size[y] + size[x] - shared[y]))]
+                links += [(x, z) for z in ([best] if near(best, -SLACK) else y)]
+        a, b = (node[np.array([l[i] for l in links], dtype=np.int64)] for i in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def across_components(placed: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): probable links between components of buckets; placed: band, node, root. A bucket of more than GROUP shingles is
+    cut into parts by node, and any two parts are a group."""
+    spread = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    left = materialize(placed.join(spread, "band"))
+    sets = materialize(texts_of(left.select("node"), classes, rows).mapInArrow(_short_sets(k), "node long, n long, s binary"))
+    sized = left.join(sets.select("node", "n"), "node").groupBy("band").agg(F.ceil(F.sum("n") / (GROUP // 2)).alias("parts"))
+    dealt = left.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("band", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(sets.select("node", "s"), "node").groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long")
+
+
 def classify(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """For each row: k_id, k_th, n_shingles, root (a number of its component) and component (the least id in reach; null: none)."""
     rows = keyed(docs)
-    signed = materialize(rows.mapInArrow(_sketches(k, bands, band_rows), "k_id long, k_th long, n_shingles long, set binary, bands array<long>, bits array<long>"))
+    signed = materialize(rows.mapInArrow(_sketches(k, bands, band_rows), "k_id long, k_th long, n_shingles long, set binary, bands array<long>"))
     least = F.min(F.when(F.col("k_id") != NULL_ID, F.col("k_id"))).alias("least")
-    classes = signed.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("k_id", "k_th", "bands", "bits")).alias("rep"), least)
+    classes = signed.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("k_id", "k_th", "bands")).alias("rep"), least)
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     members = classes.select("node", F.explode("rep.bands").alias("band"))
 
@@ -149,13 +192,7 @@ def classify(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int
     roots = components(materialize(confirmed(tested, classes, rows, k, percent)))
 
     placed = shared.filter("n > 2").join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
-    spread = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    left = materialize(placed.join(spread, "band").join(classes.select("node", "rep.bits"), "node"))
-    x, y = left.alias("x"), left.alias("y")
-    places = bands * band_rows
-    near = _differing("x.bits", "y.bits", -(-places // 16)) <= int((1 - AGREE) * places)
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    new = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+    new = materialize(across_components(placed, classes, rows, k, percent).distinct())
     if not new.isEmpty():
         links = confirmed(new, classes, rows, k, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(materialize(links))
@@ -163,7 +200,7 @@ def classify(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("set", "component", "root")
     own = F.when(F.col("k_id") != NULL_ID, F.col("k_id"))
-    return signed.drop("bands", "bits").join(named, "set", "left").select("k_id", "k_th", "n_shingles", "root", F.when(F.col("set").isNull(), own).otherwise(F.col("component")).alias("component"))
+    return signed.drop("bands").join(named, "set", "left").select("k_id", "k_th", "n_shingles", "root", F.when(F.col("set").isNull(), own).otherwise(F.col("component")).alias("component"))
 
 
 def report(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

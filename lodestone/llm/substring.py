@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import chosen, copies, coverage, make_blocks, opened, pack, ranges, repeated_anchors, runs_of_windows, span_table, unpack, whole_copies
+from lodestone.llm.blocks import chosen, copies, coverage, hot_rows, make_blocks, opened, pack, ranges, repeated_anchors, runs_of_windows, span_table, unpack, whole_copies
 from lodestone.llm.storage import materialize
 from lodestone.llm.text import NULL_ID, Words, keyed_struct, mix, rolling
 
@@ -125,8 +125,8 @@ def _bin(window: int):
 
 
 def _hot_windows(window: int, gram: int, shift: np.uint64):
-    """(block, h1, h2, k_id, k_th, doc, start, later) of the windows of a block's hot anchors: later where the same window stands
-    earlier in the block."""
+    """(block, h1, h2, k_id, k_th, doc, start) of the first place of each window of a block's hot anchors; one row has the spans
+    of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +143,8 @@ def _hot_windows(window: int, gram: int, shift: np.uint64):
                 new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(at)]
                 first = np.flatnonzero(new)[np.cumsum(new) - 1]
                 same = (k_id[doc] == k_id[doc][first]) & (k_th[doc] == k_th[doc][first]) & (start == start[first])
-                columns = [np.full(len(at), batch["block"][i].as_py()), one.view(np.int64), two.view(np.int64), k_id[doc], k_th[doc], doc, start, ~same]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "h1", "h2", "k_id", "k_th", "doc", "start", "later"])
+                block = np.full(len(at), batch["block"][i].as_py())
+                yield from hot_rows(~same, start, window, block=block, h1=one.view(np.int64), h2=two.view(np.int64), k_id=k_id[doc], k_th=k_th[doc], doc=doc)
 
     return run
 
@@ -162,17 +162,18 @@ def repeats(blocks: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int
     cold = parts.groupBy("bin").applyInArrow(_bin(window), "block long, spans binary")
     if not any_hot:
         return cold
-    kind = "block long, h1 long, h2 long, k_id long, k_th long, doc long, start long, later boolean"
+    kind = "block long, h1 long, h2 long, k_id long, k_th long, doc long, start long, spans binary"
     rows = materialize(blocks.join(bits.filter("hot"), "block").mapInArrow(_hot_windows(window, gram, shift), kind))
-    place, first = F.struct("k_id", "k_th", "start"), rows.filter("NOT later")
+    place, first = F.struct("k_id", "k_th", "start"), rows.filter("spans IS NULL")
     heads = first.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("last")).filter("head < last").drop("last")
-    gone = first.join(heads, ["h1", "h2"]).filter(place > F.col("head")).select("block", "doc", "start").unionByName(rows.filter("later").select("block", "doc", "start"))
+    gone = first.join(heads, ["h1", "h2"]).filter(place > F.col("head")).select("block", "doc", "start")
 
     def packed(table: pa.Table) -> pa.Table:
         block, doc, start = (table[c].to_numpy() for c in ("block", "doc", "start"))
         return span_table(block, doc, start, start + window)
 
-    return cold.unionByName(gone.groupBy("block").applyInArrow(packed, "block long, spans binary"))
+    known = rows.filter("spans IS NOT NULL").select("block", "spans")
+    return cold.unionByName(known).unionByName(gone.groupBy("block").applyInArrow(packed, "block long, spans binary"))
 
 
 def _results(texts_too: bool, window: int):

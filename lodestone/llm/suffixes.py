@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import chosen, copies, coverage, make_blocks, opened, pack, ranges, repeated_anchors, runs_of_windows, span_table, squeeze, stretch, unpack, whole_copies
+from lodestone.llm.blocks import chosen, copies, coverage, hot_rows, make_blocks, opened, pack, ranges, repeated_anchors, runs_of_windows, span_table, squeeze, stretch, unpack, whole_copies
 from lodestone.llm.storage import materialize
 from lodestone.llm.text import NULL_ID, binary_buffers, hash_between, mix, spans_hash, sums_of, window_hashes, window_hashes_at
 
@@ -245,7 +245,7 @@ def _bin(window: int, gram: int):
 
 def _hot_windows(window: int, gram: int, shift: np.uint64):
     """Of each window of the block's hot anchors: (block, h1, h2, k_id, doc, start) where the block has it in the document of the
-    least id; the places in other documents are known to be later ones and come without a hash."""
+    least id; the places in other documents are known to be later ones: one row has their spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,9 +260,8 @@ def _hot_windows(window: int, gram: int, shift: np.uint64):
                 at, one, two, doc = at[by], one[by], two[by], doc[by]
                 new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(at)]
                 lowest = k_id[doc][np.flatnonzero(new)][np.cumsum(new) - 1]
-                columns = [np.full(len(at), batch["block"][i].as_py()), one.view(np.int64), two.view(np.int64), k_id[doc], doc, at - offsets[doc]]
-                later = pa.array(k_id[doc] > lowest)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), later], ["block", "h1", "h2", "k_id", "doc", "start", "later"])
+                start, later, block = at - offsets[doc], k_id[doc] > lowest, np.full(len(at), batch["block"][i].as_py())
+                yield from hot_rows(later, start, window, block=block, h1=one.view(np.int64), h2=two.view(np.int64), k_id=k_id[doc], doc=doc)
 
     return run
 
@@ -280,17 +279,18 @@ def repeats(blocks: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int
     cold = parts.groupBy("bin").applyInArrow(_bin(window, gram), "block long, spans binary")
     if not any_hot:
         return cold
-    kind = "block long, h1 long, h2 long, k_id long, doc long, start long, later boolean"
+    kind = "block long, h1 long, h2 long, k_id long, doc long, start long, spans binary"
     rows = materialize(blocks.join(bits.filter("hot"), "block").mapInArrow(_hot_windows(window, gram, shift), kind))
-    first = rows.filter("NOT later")
+    first = rows.filter("spans IS NULL")
     heads = first.groupBy("h1", "h2").agg(F.min("k_id").alias("head"), F.max("k_id").alias("last")).filter("head < last").drop("last")
-    gone = first.join(heads, ["h1", "h2"]).filter("k_id > head").select("block", "doc", "start").unionByName(rows.filter("later").select("block", "doc", "start"))
+    gone = first.join(heads, ["h1", "h2"]).filter("k_id > head").select("block", "doc", "start")
 
     def packed(table: pa.Table) -> pa.Table:
         block, doc, start = (table[c].to_numpy() for c in ("block", "doc", "start"))
         return span_table(block, doc, start, start + window)
 
-    return cold.unionByName(gone.groupBy("block").applyInArrow(packed, "block long, spans binary"))
+    known = rows.filter("spans IS NOT NULL").select("block", "spans")
+    return cold.unionByName(known).unionByName(gone.groupBy("block").applyInArrow(packed, "block long, spans binary"))
 
 
 def _results(window: int):
