@@ -2,10 +2,12 @@
 
 All rolling word 3-grams of the documents are joined by hash (and then word by word) to the places of the licence
 templates; votes are counted by diagonal (place in the document less place in the template), neighbouring diagonals are
-merged, and a merged span is verified by the part of the template's 3-grams that it holds and by its length.
+merged (at most NEAR apart, or a quarter of the template's words, so that words put into a text do not part it), and a merged
+span is verified by the part of the template's 3-grams that it holds and by its length.
 
 Null or empty text: no words, no labels, score 0. Repeated rows get the same row each. A null id is scanned like any
-other. An empty table gives an empty result. The templates are a fixed list, so the broadcast has a fixed size.
+other. A very long text is one row as any other. An empty table gives an empty result. Only doc_id
+and text are read, so other columns may have any names. The templates are a fixed list, so the broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -21,14 +23,21 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: Label and words of each template, as in public licence texts and their usual notices.
 TEMPLATES = [
     ("mit-notice", "released under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("warranty-disclaimer", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache-2.0-notice", "licensed under the apache license version 2 0"),
-    ("apache-2.0-text", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0-text", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("mpl-2.0-text", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("lgpl-text", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("unlicense-text", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc0-text", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl-3-notice", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("cc-by-nc-4.0-notice", "licensed under cc by nc 4 0"),
     ("cc-by-text", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
 ]
 
 #: A merged span is a match with this part of the template's 3-grams, over at most so many times its words.
@@ -80,7 +89,8 @@ def spans(docs: DataFrame) -> DataFrame:
     # plain counts only: a diagonal's distinct template places are rows of a grouping
     cells = votes.groupBy("k_id", "k_th", "number", "size", (F.col("pos") - F.col("at")).alias("diagonal"), "at").agg(F.min("pos").alias("lo"))
     order = Window.partitionBy("k_id", "k_th", "number").orderBy("diagonal", "at")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True)).cast("int")
+    near = F.greatest(F.lit(NEAR), F.floor(F.col("size") / 4))
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > near, F.lit(True)).cast("int")
     merged = cells.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = merged.groupBy("k_id", "k_th", "number", "size", "cluster", "at").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"))
     merged = merged.groupBy("k_id", "k_th", "number", "size", "cluster").agg(F.min("lo").alias("first"), (F.max("hi") + 2).alias("last"), F.count("*").alias("n"))
@@ -118,7 +128,7 @@ based AS (SELECT r, count(*) AS n, min(spot) AS a, max(spot) AS b, list_sort(lis
 t(label, spot, size, t1, t2, t3) AS (VALUES {rows}),
 votes AS (SELECT r, label, size, i - 1 AS pos, spot FROM wordy JOIN t ON list_extract(w, i) = t1 AND list_extract(w, i + 1) = t2 AND list_extract(w, i + 2) = t3),
 diag AS (SELECT r, label, size, pos - spot AS d, min(pos) AS lo, max(pos) AS hi, list(DISTINCT spot) AS ats FROM votes GROUP BY ALL),
-gaps AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, label ORDER BY d) <= {NEAR} THEN 0 ELSE 1 END AS apart FROM diag),
+gaps AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, label ORDER BY d) <= greatest({NEAR}, size // 4) THEN 0 ELSE 1 END AS apart FROM diag),
 clusters AS (SELECT *, sum(apart) OVER (PARTITION BY r, label ORDER BY d) AS c FROM gaps),
 merged AS (SELECT r, label, size, c, min(lo) AS a, max(hi) + 2 AS b, len(list_distinct(flatten(list(ats)))) / (size - 2) AS coverage FROM clusters GROUP BY r, label, size, c),
 found AS (SELECT r, list(DISTINCT label) AS more, max(coverage) AS best FROM merged WHERE coverage >= {MIN_COVERAGE} AND b - a + 1 <= {MAX_STRETCH} * size GROUP BY r)

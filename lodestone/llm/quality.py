@@ -6,7 +6,7 @@ pass over all rows: no shuffle, nothing collected.
 
 Null or empty text: all statistics 0, so the rules reject it (fewer than 50 words). Repeated rows are scored each.
 Labels with a null id or quality are not learned from; without two classes of labels the verdict is the rules' alone.
-An empty table gives an empty result.
+An empty table gives an empty result. A very long text is a slice of its own. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -191,15 +191,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Trees | None:
-    """Fits the trees on at most max_labels labelled documents, those first in the order of a hash of their ids."""
+    """Fits the trees on at most max_labels labelled documents, those first in the order of a hash of their ids; of rows that share
+    an id one is learned from, that with the least hash of its text. Without labels of both classes there is no model."""
     some = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(F.broadcast(some), "doc_id").select("quality", "doc_id", "text")  # at most max_labels short rows are broadcast
-    rows = joined.mapInArrow(_features, "quality int, doc_id long, x array<double>").limit(2 * max_labels).collect()
+    joined = texts.join(F.broadcast(some), "doc_id")  # at most max_labels short rows are broadcast
+    once = joined.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = once.select("quality", "doc_id", "text").mapInArrow(_features, "quality int, doc_id long, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     y = np.array([float(r["quality"] > 0) for r in rows])
-    if len(y) < 100 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     return fit(np.array([r["x"] for r in rows]), y)
 

@@ -7,7 +7,7 @@ Candidates of a capture go down to the list's deepest entry.
 
 Null url or fetch time: no pattern fits, allowed. Entries with a null pattern, action or date are ignored; entries of
 one pattern and date: "allow" comes last and so holds. Repeated captures are evaluated each. Without entries all is
-allowed; without captures the result is empty. The list is broadcast if it has at most ``broadcast_rows`` entries;
+allowed; without captures the result is empty. Other columns of captures and entries are not read. The list is broadcast if it has at most ``broadcast_rows`` entries;
 a longer one is joined by shuffle, with the captures of a pattern salted over ``salts`` parts.
 """
 
@@ -36,8 +36,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def patterns(url: Column, depth: int) -> Column:
     """All patterns that fit the url: its host, the host's parent domains, and the host with up to depth leading path segments."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
+    host, path = F.lower(F.regexp_extract(url, _HOST, 1)), F.regexp_extract(url, _PATH, 1)
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, depth)
@@ -66,17 +65,39 @@ def evaluate(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROA
     return best.select("page_id", "url", "fetched_on", F.col("hit.pattern").alias("pattern"), F.col("hit.listed_on").alias("listed_on"), F.coalesce(F.col("hit.action") == "block", F.lit(False)).alias("blocked"))
 
 
+_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)"
+
+
+def listed(pages: DataFrame) -> DataFrame:
+    """The query's list: the fixed entries, and one for about every eighth page: its host with up to three of its path segments,
+    with action and day from a digest of the url."""
+    digit = lambda i: F.ascii(F.substring(F.md5("url"), i, 1))
+    host, parts = F.lower(F.regexp_extract("url", _HOST, 1)), F.filter(F.split(F.lower(F.regexp_extract("url", _PATH, 1)), "/"), lambda s: s != "")
+    own = pages.filter((F.substring(F.md5("url"), 1, 1) < "2") & (host != "")).select(
+        F.array_join(F.concat(F.array(host), F.slice(parts, F.lit(1), digit(2) % 4)), "/").alias("pattern"),
+        F.when(digit(3) % 2 == 0, "allow").otherwise("block").alias("action"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (digit(4) * 31 + digit(5)) % 365).cast("string").alias("listed_on"),
+    )
+    return pages.sparkSession.createDataFrame(ENTRIES, "pattern string, action string, listed_on string").unionByName(own)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages have no fetch time of their own: page_id modulo 365 days after 2024-01-01 stands for it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.expr("date_add(DATE'2024-01-01', cast(pmod(page_id, 365) AS int))").alias("fetched_on"))
-    out = evaluate(pages, spark.createDataFrame(ENTRIES, "pattern string, action string, listed_on string"))
+    out = evaluate(pages, listed(pages))
     return out.select("page_id", "url", F.col("fetched_on").cast("string").alias("fetched_on"), "pattern", F.col("listed_on").cast("string").alias("listed_on"), "blocked")
 
 
 def sql() -> str:
     rows = ", ".join(f"('{p}', '{a}', DATE '{d}')" for p, a, d in ENTRIES)
     return f"""
-WITH e(pattern, action, day) AS (VALUES {rows}),
+WITH fixed(pattern, action, day) AS (VALUES {rows}),
+urls AS (SELECT md5(url) AS m, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
+    list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1)), '/'), lambda x: x <> '') AS parts FROM pages WHERE url IS NOT NULL),
+own AS (SELECT array_to_string(list_concat([host], parts[1:ascii(m[2]) % 4]), '/') AS pattern, CASE WHEN ascii(m[3]) % 2 = 0 THEN 'allow' ELSE 'block' END AS action,
+    DATE '2024-01-01' + (ascii(m[4]) * 31 + ascii(m[5])) % 365 AS day FROM urls WHERE m[1] < '2' AND host <> ''),
+e AS (SELECT pattern, min(action) AS action, day FROM (SELECT * FROM fixed UNION ALL SELECT * FROM own) GROUP BY pattern, day),
 v AS (SELECT *, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS until FROM e),
 p AS (SELECT row_number() OVER () AS r, page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS t,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
