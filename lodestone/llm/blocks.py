@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import bucketed, materialize
-from lodestone.llm.text import binary_buffers, keyed, mix, slices
+from lodestone.llm.text import binary_buffers, give_back, keyed, mix, slices
 
 U64 = np.uint64
 BLOCK_BYTES = 1_000_000
@@ -193,6 +193,7 @@ def repeated_anchors(blocks: DataFrame, anchors: Callable[[pa.RecordBatch, int],
         ends = np.cumsum([len(x) for x in own])
         bits = [squeeze(np.packbits(np.stack([twice[e - len(x) : e], often[e - len(x) : e]])).tobytes()) for x, e in zip(own, ends, strict=True)]
         some = [bool(often[e - len(x) : e].any()) for x, e in zip(own, ends, strict=True)]
+        give_back()
         return pa.table({"block": table["block"].combine_chunks(), "part": table["part"].combine_chunks(), "bits": pa.array(bits, pa.binary()), "hot": pa.array(some)})
 
     sent = blocks.mapInArrow(send, "block long, part long, packed binary, times binary")
@@ -215,6 +216,7 @@ def chosen(values: np.ndarray, answers: list[dict] | None, shift: np.uint64) ->
 
 def span_table(block: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     """Spans packed by block."""
+    give_back()  # this is the last step of a group
     if len(block):
         by = np.lexsort((start, doc, block))  # overlapping spans of a document as one
         block, doc, start, end = block[by], doc[by], start[by], end[by]

@@ -23,8 +23,10 @@ from lodestone.llm.text import chars_hash, slices
 
 END_ID = 1
 MOST = 2048
+#: Bytes of text that are encoded at once: the larger, the fewer distinct pretokens are looked up again.
+ENCODED_BYTES = 2_000_000
 #: Pretokens whose ids a worker keeps between slices.
-CACHED = 600_000
+CACHED = 300_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 #: Texts with other characters are left to the tokenizer itself, whose Unicode tables may be of another version.
@@ -172,7 +174,7 @@ def pieces(docs: DataFrame, path: str | None = None, most: int = MOST, end_id: i
         encoder = _encoders[path]
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODED_BYTES):
                 doc, start, length, tokens, ids = [], [], [], [], []
                 for d, own in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()]), strict=True):
                     own += end

@@ -6,7 +6,10 @@ hashes and rolling n-gram hashes never loop over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = U64(0xD6E8FEB86659FD93)
 
 #: Bytes of text handled at once; a longer document is handled alone and whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -180,6 +183,20 @@ class Words:
         return np.repeat(self.first[1:], self.count) - np.arange(len(self.start))
 
 
+@functools.cache
+def _trimmer() -> Callable[[int], int] | None:
+    with contextlib.suppress(AttributeError, OSError):
+        return ctypes.CDLL(None).malloc_trim
+    return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trimmer():
+        _trimmer()(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batch with at most so many bytes of text each, or one document."""
     at = batch.schema.get_field_index(column)
@@ -189,6 +206,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    give_back()
 
 
 #: What a null id counts as where ids are ordered: it comes before all others.
