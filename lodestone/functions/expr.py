@@ -51,12 +51,9 @@ def safe_ratio(n: Column, d: Column) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(n.cast("double") / F.when(d != 0, d).cast("double"))
 
 
-def rank_bucket(c: Column, text: str, other: Column | None = None) -> Column:
+def rank_bucket(c: Column, text: str) -> Column:
     """0: equal (case counts), 1: prefix, 2: anything else that was let through."""
-    equal, prefix = c == text, sqlite_like(c, f"{text}%")
-    if other is not None:
-        equal, prefix = equal | (other == text), prefix | sqlite_like(other, f"{text}%")
-    return F.when(equal, 0).when(prefix, 1).otherwise(2)
+    return F.when(c == text, 0).when(sqlite_like(c, f"{text}%"), 1).otherwise(2)
 
 
 def focus_tokens(focus: str) -> list[str]:

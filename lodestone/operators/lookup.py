@@ -43,7 +43,7 @@ def find_symbol(snap: Snapshot, name: str, kind: str | None = None, project: str
     if kind:
         s = s.filter(F.col("kind") == kind)
     files = snap.placed_files(project, since).select(F.col("id").alias("file_id"), "shown", "project")
-    rank = F.lit(0) if kind else rank_bucket(F.col("name"), name, F.col("qualified"))
+    rank = F.lit(0) if kind else rank_bucket(F.col("name"), name)
     page = s.join(files, "file_id").select(F.col("id"), "name", "qualified", "kind", F.col("shown").alias("path"), "project", "start_line", "end_line", "docstring", rank.alias("rank"))
     order = ["rank", F.length("qualified"), "id"]
 
@@ -154,11 +154,14 @@ def find_document_key(snap: Snapshot, key: str, kind: str | None = None, project
 
 
 def package_refs(snap: Snapshot, folder: str, limit: int = 20) -> DataFrame:
-    """(direction, package, n): references across folders into and out of one, without imports, its own and sub-packages."""
+    """(direction, package, n): references, but imports, from other folders to symbols right in this one and from its files to
+    others, up to limit folders each way. Sub-folders are folders of their own."""
     d = snap.placed_files().select("id", F.when(F.instr("shown", "/") == 0, ".").otherwise(F.regexp_replace("shown", "/[^/]*$", "")).alias("dir"))
     home = snap.symbols.join(d.withColumnRenamed("id", "file_id"), "file_id").select(F.col("id").alias("dst"), F.col("dir").alias("dst_dir"))
     e = snap.refs.filter("kind <> 'import' AND dst_symbol_id IS NOT NULL").select(F.col("src_file_id").alias("id"), F.col("dst_symbol_id").alias("dst")).join(d, "id").join(home, "dst")
-    inside = lambda c: (F.col(c) == folder) | F.col(c).startswith(folder + "/")
-    both = e.filter((F.col("dst_dir") == folder) & ~inside("dir")).select(F.lit("in").alias("direction"), F.col("dir").alias("package"))
-    both = both.unionByName(e.filter((F.col("dir") == folder) & ~inside("dst_dir")).select(F.lit("out").alias("direction"), F.col("dst_dir").alias("package")))
-    return both.groupBy("direction", "package").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "package", "direction").limit(limit)
+
+    def side(direction: str, here: str, there: str) -> DataFrame:
+        rows = e.filter((F.col(here) == folder) & (F.col(there) != folder)).groupBy(F.col(there).alias("package")).agg(F.count("*").alias("n"))
+        return rows.select(F.lit(direction).alias("direction"), "package", "n").orderBy(F.desc("n"), "package").limit(limit)
+
+    return side("in", "dst_dir", "dir").unionByName(side("out", "dir", "dst_dir"))

@@ -11,7 +11,6 @@ from lodestone.sources.model import Snapshot
 #: Warn and fail thresholds of the health checks.
 UNRESOLVED = (0.25, 0.50)
 SELF_LOOPS = (1, 20)
-FRAGMENTATION = (0.20, 0.50)
 EMPTY_PROJECT = (10, 1)
 FRESHNESS = (2, 0.01, 0.10)
 #: Adoption thresholds (sessions, search share, read share, ratio to grep) and the tools they look at.

@@ -14,18 +14,9 @@ MULTIPLIERS = [
     ("get_neighborhood", 2.5, "low"), ("impact_analysis", 1.5, "low"), ("critical_path", 3.0, "low"), ("find_document_key", 1.2, "medium"), ("list_files", 0.2, "medium"), ("stats", 0.0, "none"), ("ping", 0.0, "none"),
 ]
 #: Commands that explore.
-EXPLORING = ("grep", "rg", "ripgrep", "find", "cat", "head", "tail", "ls", "sed", "awk", "tree", "fd", "wc")
-
-
-def middle(values):
-    """The value at n / 2 of the sorted ones, without interpolation."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
-
-
-def late(values, percent: int = 95):
-    s = F.array_sort(values)
-    return F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * percent / 100).cast("int")))
+EXPLORING = ("grep", "rg", "ripgrep", "find", "fd", "cat", "head", "tail", "less", "more", "awk", "sed", "wc", "sort", "uniq", "ls", "tree", "ag")
+#: Tags of text that was put in for the user.
+WRAPPERS = ("ide_opened_file", "ide_selection", "ide_diagnostics", "system-reminder", "command-name", "local-command-stdout")
 
 
 def tool_rollup(calls: DataFrame) -> DataFrame:
@@ -47,7 +38,8 @@ def tool_rollup(calls: DataFrame) -> DataFrame:
 def classify_tool(tool, command):
     """exploratory, action or other, of a tool call outside the engine."""
     word = command_word(command)
-    return F.when(tool.isin("Read", "Grep", "Glob", "LS", "WebFetch", "WebSearch"), "exploratory").when(tool == "Bash", F.when(word.isin(*EXPLORING), "exploratory").otherwise("action")).when(tool.isin("Edit", "Write", "MultiEdit", "NotebookEdit"), "action").otherwise("other")
+    shell = F.when(word.isin(*EXPLORING), "exploratory").otherwise("action")
+    return F.when(tool == "Bash", shell).when(tool.isin("Read", "WebFetch", "WebSearch"), "exploratory").when(tool.isin("Edit", "Write", "NotebookEdit"), "action").otherwise("other")
 
 
 def command_word(command):
@@ -117,14 +109,22 @@ def session_cost(costs: DataFrame, per_token: float = CHARS_PER_TOKEN) -> DataFr
     return t.withColumn("tokens", tokens).withColumn("saved_tokens", bytes_to_tokens(F.col("without_bytes"), per_token) - F.col("tokens")).withColumn("savings_ratio", safe_ratio(F.col("saved_bytes"), F.col("without_bytes")))
 
 
+def only_wrapper(text):
+    """Whether a text is blank, or begins with a wrapper's tag and ends with the same tag's closing."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    tagged = F.lit(False)
+    for tag in WRAPPERS:
+        tagged = tagged | (t.startswith(f"<{tag}>") & t.endswith(f"</{tag}>"))
+    return (t == "") | tagged
+
+
 def transcript_turns(talk: DataFrame) -> DataFrame:
     """(conv_id, turns, first_user): a turn begins at a user's row after an assistant's; one at least; first_user: the
-    first 8 words of the first user text that is more than a wrapper. talk: conv_id, turn, role, text."""
+    first user text that is more than a wrapper, cut with an ellipsis after 300 characters. talk: conv_id, turn, role, text."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = talk.withColumn("before", F.lag("role").over(w))
-    wrapper = r"^\s*(<[a-z\-]+>.*</[a-z\-]+>\s*)+$"
-    words = F.slice(F.split(F.trim("text"), r"\s+"), 1, 8)
-    first = F.min_by(F.array_join(words, " "), F.when((F.col("role") == "user") & ~F.col("text").rlike(wrapper), F.col("turn")))
+    short = F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("…"))).otherwise(F.col("text"))
+    first = F.min_by(short, F.when((F.col("role") == "user") & ~only_wrapper(F.col("text")), F.col("turn")))
     return t.groupBy("conv_id").agg(F.greatest(F.count_if((F.col("role") == "user") & (F.col("before") == "assistant")), F.lit(1)).alias("turns"), first.alias("first_user"))
 
 

@@ -15,7 +15,7 @@ items AS (SELECT *, l_orderkey * 100 + row_number() OVER w AS id, lead(l_partkey
 raw AS (SELECT i.id, l_partkey % n AS src_file_id, CASE WHEN i.id % 11 <> 0 THEN l_partkey END AS src_symbol_id,
     CASE WHEN i.id % 17 = 0 THEN 'ext.f' || (i.id % 50) WHEN i.id % 3 = 0 THEN s.name ELSE s.qualified END AS dst_name,
     CASE WHEN i.id % 11 = 0 THEN 'import' WHEN l_returnflag = 'A' THEN 'call' WHEN l_returnflag = 'N' THEN 'type_ref' ELSE 'inherit' END AS kind,
-    CAST(i.id % 200 + 1 AS INTEGER) AS line, CASE WHEN i.id % 3 = 0 OR i.id % 11 = 0 THEN 0 ELSE 1 END AS resolver_version FROM items i JOIN symbols s ON s.id = i.dst, k WHERE l_discount <= 0.02),
+    CAST(i.id % 200 + 1 AS INTEGER) AS line, CASE WHEN i.id % 3 = 0 OR i.id % 11 = 0 THEN 0 ELSE 1 END AS resolver_version FROM items i JOIN symbols s ON s.id = i.dst, k),
 shorted AS (SELECT *, regexp_extract(dst_name, '[^.]*$') AS dst_short FROM raw),
 byq AS (SELECT qualified, min(id) AS q FROM symbols GROUP BY 1), byn AS (SELECT name, min(id) AS s FROM symbols GROUP BY 1 HAVING count(*) = 1),
 refs AS (SELECT r.*, coalesce(q, s) AS dst_symbol_id, coalesce(q, s) IS NOT NULL AS resolved FROM shorted r LEFT JOIN byq ON dst_name = qualified LEFT JOIN byn ON dst_short = name AND resolver_version = 0),

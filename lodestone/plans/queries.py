@@ -49,7 +49,7 @@ def _seed(snap: Snapshot) -> DataFrame:
 # --- symbols, references, files ---
 
 _FOUND = "s.id, s.name, qualified, s.kind, shown AS path, project"
-_RANK = "CASE WHEN s.name = '{0}' OR qualified = '{0}' THEN 0 WHEN s.name ILIKE '{0}%' OR qualified ILIKE '{0}%' THEN 1 ELSE 2 END"
+_RANK = "CASE WHEN s.name = '{0}' THEN 0 WHEN s.name ILIKE '{0}%' THEN 1 ELSE 2 END"
 
 
 def _found(m: lookup.Matches) -> DataFrame:
@@ -161,8 +161,8 @@ def document_key_kind(snap: Snapshot) -> DataFrame:
 
 
 @snapshot_query(
-    """SELECT direction, package, count(*) AS n FROM (SELECT 'in' AS direction, a AS package FROM x WHERE b = 'services/asia/src' AND a <> b AND NOT starts_with(a, b || '/')
-    UNION ALL SELECT 'out', b FROM x WHERE a = 'services/asia/src' AND a <> b AND NOT starts_with(b, a || '/')) GROUP BY ALL ORDER BY n DESC, package, direction LIMIT 20""",
+    """SELECT * FROM (SELECT 'in' AS direction, a AS package, count(*) AS n FROM x WHERE b = 'services/asia/src' AND a <> b GROUP BY a ORDER BY n DESC, a LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'out' AS direction, b AS package, count(*) AS n FROM x WHERE a = 'services/asia/src' AND a <> b GROUP BY b ORDER BY n DESC, b LIMIT 20)""",
     "x AS (SELECT regexp_replace(f.shown, '/[^/]*$', '') AS a, regexp_replace(g.shown, '/[^/]*$', '') AS b FROM refs r JOIN pf f ON f.id = src_file_id JOIN symbols s ON s.id = dst_symbol_id JOIN pf g ON g.id = s.file_id WHERE r.kind <> 'import')",
 )
 def package_refs(snap: Snapshot) -> DataFrame:
@@ -580,8 +580,10 @@ def adoption(spark: SparkSession, d: str) -> DataFrame:
 
 
 @table_query(
-    """SELECT conv_id, CAST(greatest(count(*) FILTER (role = 'user' AND b = 'assistant'), 1) AS BIGINT) AS turns, array_to_string(list_slice(regexp_split_to_array(trim(arg_min(text, turn) FILTER (role = 'user'), E' \\n\\t'), '\\s+'), 1, 8), ' ') AS first_user
-    FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) GROUP BY 1"""
+    """SELECT conv_id, CAST(greatest(count(*) FILTER (role = 'user' AND b = 'assistant'), 1) AS BIGINT) AS turns, arg_min(CASE WHEN length(text) > 300 THEN text[1:300] || '…' ELSE text END, turn) FILTER (role = 'user' AND NOT wrapped) AS first_user
+    FROM (SELECT *, t = '' OR coalesce(list_bool_or(list_transform(['ide_opened_file', 'ide_selection', 'ide_diagnostics', 'system-reminder', 'command-name', 'local-command-stdout'],
+            lambda g: starts_with(t, '<' || g || '>') AND ends_with(t, '</' || g || '>'))), false) AS wrapped
+        FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM conversations)) GROUP BY 1"""
 )
 def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.transcript_turns(spark.read.parquet(f"{d}/conversations.parquet"))
