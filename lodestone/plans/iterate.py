@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the checkpoint folder, so that a loop's plan stays small and survives lost
-    executors. Where spark.checkpoint.dir is unset, as in tests, a folder of our own."""
+    executors. Where spark.checkpoint.dir is unset, a single machine gets a folder of our own; a cluster is an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
