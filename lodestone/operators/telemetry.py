@@ -15,6 +15,11 @@ MULTIPLIERS = [
 ]
 #: Commands that explore.
 EXPLORING = ("grep", "rg", "ripgrep", "find", "fd", "cat", "head", "tail", "less", "more", "awk", "sed", "wc", "sort", "uniq", "ls", "tree", "ag")
+#: Commands that make a shell call a fallback, and the tools that edit.
+FALLBACK = ("grep", "rg", "find", "fd", "cat", "head", "tail", "ls", "tree", "ag", "wc")
+EDITING = ("Edit", "Write", "NotebookEdit")
+#: What names of the engine's own tools begin with in a transcript.
+OWN = "mcp__lodestone__"
 #: Tags of text that was put in for the user.
 WRAPPERS = ("ide_opened_file", "ide_selection", "ide_diagnostics", "system-reminder", "command-name", "local-command-stdout")
 
@@ -66,7 +71,7 @@ def sessionize(records: DataFrame, order: str = "n") -> DataFrame:
 
 
 def session_rollup(records: DataFrame) -> DataFrame:
-    """(session, calls, tools, ok, in_bytes, out_bytes, span_s), latest first."""
+    """(session, calls, tools, ok, in_bytes, out_bytes, span_s), longest first."""
     s = sessionize(records)
     return s.groupBy("session").agg(
         F.count("*").alias("calls"), F.count_distinct("tool").alias("tools"), F.count_if("ok").alias("ok"), F.sum("in_bytes").alias("in_bytes"), F.sum("out_bytes").alias("out_bytes"),
@@ -128,24 +133,59 @@ def transcript_turns(talk: DataFrame) -> DataFrame:
     return t.groupBy("conv_id").agg(F.greatest(F.count_if((F.col("role") == "user") & (F.col("before") == "assistant")), F.lit(1)).alias("turns"), first.alias("first_user"))
 
 
-def transcript_tools(talk: DataFrame) -> DataFrame:
-    """(conv_id, role, messages, chars, longest) of each role."""
-    return talk.groupBy("conv_id", "role").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
+def fallback_call(name, given):
+    """Whether a call explores without the engine. given: its input as JSON text; a shell call counts where a command
+    stands behind a quote, between blanks, or first."""
+    shell = F.lit(False)
+    for word in FALLBACK:
+        shell = shell | F.contains(given, F.lit(f'"{word}')) | F.contains(given, F.lit(f" {word} ")) | given.startswith(f"{word} ")
+    return name.isin("Read", "WebSearch", "WebFetch") | ((name == "Bash") & shell)
 
 
-def fallback_context(talk: DataFrame) -> DataFrame:
-    """For each user row: the last assistant text of the three rows before it, and the length of the next row's text."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = talk.withColumn("said", F.last(F.when(F.col("role") == "assistant", F.substring("text", 1, 40)), ignorenulls=True).over(w.rowsBetween(-3, -1))).withColumn("next_chars", F.lead(F.length("text")).over(w))
-    return t.filter("role = 'user'").select("conv_id", "turn", "said", "next_chars")
+def transcript_tools(found: DataFrame) -> DataFrame:
+    """(conv_id, tool, calls) of the tools that a transcript calls. found: blocks with conv_id."""
+    return found.filter("type = 'tool_use'").groupBy("conv_id", F.coalesce("name", F.lit("")).alias("tool")).agg(F.count("*").alias("calls"))
+
+
+def transcript_calls(found: DataFrame, own: str = OWN) -> DataFrame:
+    """(conv_id, calls, edits, agents, own_calls, fallbacks, plan_mode) of each transcript, also of one without calls."""
+    use, name = F.col("type") == "tool_use", F.coalesce("name", F.lit(""))
+    return found.groupBy("conv_id").agg(
+        F.count_if(use).alias("calls"), F.count_if(use & name.isin(*EDITING)).alias("edits"), F.count_if(use & (name == "Agent")).alias("agents"), F.count_if(use & name.startswith(own)).alias("own_calls"),
+        F.count_if(use & fallback_call(name, F.col("input"))).alias("fallbacks"), F.max(use & (name == "ExitPlanMode")).alias("plan_mode"),
+    )
+
+
+def _clipped(text, n: int):
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
+
+
+def fallback_context(found: DataFrame) -> DataFrame:
+    """(conv_id, n, pos, tool, input, said, result) of each call that explores without the engine: the last assistant text
+    of the three events before it, 600 characters of it, and the result that follows at once, 400 characters. Blank texts
+    are no events. found: blocks with conv_id."""
+    events = found.filter("type IN ('tool_use', 'tool_result') OR (type = 'text' AND coalesce(text, '') <> '')")
+    w = Window.partitionBy("conv_id").orderBy("n", "pos")
+    said = F.last(F.when((F.col("type") == "text") & (F.col("role") == "assistant"), _clipped(F.col("text"), 600)), ignorenulls=True).over(w.rowsBetween(-3, -1))
+    result = F.lead(F.when((F.col("type") == "tool_result") & (F.col("result") != ""), _clipped(F.col("result"), 400))).over(w)
+    placed = events.withColumn("said", said).withColumn("after", result)
+    return placed.filter("type = 'tool_use'").filter(fallback_call(F.col("name"), F.col("input"))).select("conv_id", "n", "pos", F.col("name").alias("tool"), "input", "said", F.col("after").alias("result"))
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """Typed blocks of transcript lines (n, raw JSON): content may be text or an array of blocks, at the top or in message."""
+    """Typed blocks of transcript lines (n, raw JSON, and what else tells transcripts apart): content may be text or an
+    array of blocks, at the top or in message. input: a call's arguments as JSON; result: a result's text, that of all its
+    parts if it has several."""
+    keys = [c for c in lines.columns if c != "raw"]
     v = lines.withColumn("v", F.try_parse_json("raw")).filter("v IS NOT NULL")
     at = lambda p, t="string": F.try_variant_get("v", p, t)
-    v = v.select("n", F.coalesce(at("$.message.role"), at("$.role"), at("$.type")).alias("role"), F.coalesce(F.expr("variant_get(v, '$.message.content', 'variant')"), F.expr("variant_get(v, '$.content', 'variant')")).alias("c"))
-    text = v.filter("schema_of_variant(c) = 'STRING'").select("n", "role", F.lit(0).alias("pos"), F.lit("text").alias("type"), F.expr("cast(c AS string)").alias("text"), F.lit(None).cast("string").alias("name"))
-    many = v.filter("schema_of_variant(c) LIKE 'ARRAY%'").select("n", "role", F.posexplode(F.expr("cast(c AS array<variant>)")).alias("pos", "b"))
+    v = v.select(*keys, F.coalesce(at("$.message.role"), at("$.role"), at("$.type")).alias("role"), F.coalesce(F.expr("variant_get(v, '$.message.content', 'variant')"), F.expr("variant_get(v, '$.content', 'variant')")).alias("c"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    text = v.filter("schema_of_variant(c) = 'STRING'").select(*keys, "role", F.lit(0).alias("pos"), F.lit("text").alias("type"), F.expr("cast(c AS string)").alias("text"), none("name"), none("input"), none("result"))
+    many = v.filter("schema_of_variant(c) LIKE 'ARRAY%'").select(*keys, "role", F.posexplode(F.expr("cast(c AS array<variant>)")).alias("pos", "b"))
     get = lambda p: F.try_variant_get("b", p, "string")
-    return text.unionByName(many.select("n", "role", "pos", F.coalesce(get("$.type"), F.lit("text")).alias("type"), F.coalesce(get("$.text"), get("$.content")).alias("text"), get("$.name").alias("name")))
+    kind = F.coalesce(get("$.type"), F.lit("text"))
+    parts = F.expr("array_join(transform(try_variant_get(b, '$.content', 'array<variant>'), x -> coalesce(try_variant_get(x, '$.text', 'string'), '')), '')")
+    result = F.when(F.expr("schema_of_variant(try_variant_get(b, '$.content', 'variant')) LIKE 'ARRAY%'"), parts).otherwise(F.coalesce(get("$.content"), F.lit("")))
+    given = F.coalesce(F.expr("to_json(try_variant_get(b, '$.input', 'variant'))"), F.lit("{}"))
+    return text.unionByName(many.select(*keys, "role", "pos", kind.alias("type"), F.coalesce(get("$.text"), get("$.content")).alias("text"), get("$.name").alias("name"), F.when(kind == "tool_use", given).alias("input"), F.when(kind == "tool_result", result).alias("result")))

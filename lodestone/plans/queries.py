@@ -11,6 +11,7 @@ from lodestone.operators import graph, lookup, resolve, stats, telemetry, text,
 from lodestone.plans.oracle import over
 from lodestone.sources.adapter import star_snapshot
 from lodestone.sources.adapter import telemetry as star_telemetry
+from lodestone.sources.adapter import transcript as star_transcript
 from lodestone.sources.model import Snapshot
 from lodestone.streaming import watch
 
@@ -589,17 +590,42 @@ def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.transcript_turns(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
-@table_query("SELECT conv_id, role, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS BIGINT) AS longest FROM conversations GROUP BY 1, 2")
+_CALLS = """uses AS (SELECT *, CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Edit' WHEN 3 THEN 'mcp__lodestone__find_symbol' ELSE 'ExitPlanMode' END AS tool FROM conversations WHERE role = 'assistant'),
+    raw_events AS (
+        SELECT conv_id, turn, 0 AS pos, role, text, NULL AS tool, NULL AS result FROM conversations WHERE role <> 'user'
+        UNION ALL SELECT conv_id, turn, 1, role, NULL, tool, NULL FROM uses
+        UNION ALL SELECT conv_id, turn, 0, role, NULL, NULL, coalesce(text, '') FROM conversations WHERE role = 'user'
+        UNION ALL SELECT conv_id, turn, 1, role, text, NULL, NULL FROM conversations WHERE role = 'user'),
+    events_of AS (SELECT * FROM raw_events WHERE tool IS NOT NULL OR result IS NOT NULL OR coalesce(text, '') <> '')"""
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.blocks(star_transcript(spark, d))
+
+
+@table_query("SELECT conv_id, tool, count(*) AS calls FROM uses GROUP BY 1, 2", _CALLS)
 def transcript_tools(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.transcript_tools(spark.read.parquet(f"{d}/conversations.parquet"))
+    return telemetry.transcript_tools(_blocks(spark, d))
+
+
+@table_query(
+    """SELECT conv_id, count(tool) AS calls, count(*) FILTER (tool = 'Edit') AS edits, CAST(0 AS BIGINT) AS agents, count(*) FILTER (starts_with(tool, 'mcp__lodestone__')) AS own_calls,
+    count(*) FILTER (tool = 'Read' OR (tool = 'Bash' AND conv_id % 2 = 0)) AS fallbacks, coalesce(bool_or(tool = 'ExitPlanMode'), false) AS plan_mode FROM raw_events GROUP BY 1""",
+    _CALLS,
+)
+def transcript_calls(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.transcript_calls(_blocks(spark, d))
 
 
 @table_query(
-    """SELECT conv_id, turn, said, next_chars FROM (SELECT *, last_value(CASE WHEN role = 'assistant' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS said,
-    lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS next_chars FROM conversations) WHERE role = 'user'"""
+    """SELECT conv_id, turn AS n, pos, tool, said, after AS result FROM (
+        SELECT *, last_value(CASE WHEN text IS NOT NULL AND role = 'assistant' THEN substr(text, 1, 600) || CASE WHEN length(text) > 600 THEN '…' ELSE '' END END IGNORE NULLS) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS said,
+        lead(CASE WHEN result <> '' THEN substr(result, 1, 400) || CASE WHEN length(result) > 400 THEN '…' ELSE '' END END) OVER w AS after
+        FROM events_of WINDOW w AS (PARTITION BY conv_id ORDER BY turn, pos)) WHERE tool = 'Read' OR (tool = 'Bash' AND conv_id % 2 = 0)""",
+    _CALLS,
 )
 def fallback_context(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.fallback_context(spark.read.parquet(f"{d}/conversations.parquet"))
+    return telemetry.fallback_context(_blocks(spark, d)).drop("input")
 
 
 # --- streams ---

@@ -70,3 +70,17 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("n"), "ts", F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").cast("long").alias("in_bytes"), F.floor(F.col("value") * 100).cast("long").alias("out_bytes"),
         F.floor("value").cast("long").alias("dur_ms"), (F.col("event_type") != "error").alias("ok"), F.concat(F.lit("s"), F.col("user_id")).alias("sid"), F.when(F.col("event_type") == "signup", "session_start").alias("kind"),
     )
+
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines (conv_id, n, raw) from the conversations: what an assistant says comes with a call of one of five
+    tools, what a user says is a call's result and a text."""
+    block = "struct<type: string, text: string, name: string, input: struct<command: string>, content: string>"
+    tool = _by_remainder((F.col("conv_id") * 3 + F.col("turn")) % 5, 5, ("Read", "Bash", "Edit", "mcp__lodestone__find_symbol", "ExitPlanMode"))
+    command = F.when(tool == "Bash", F.when(F.col("conv_id") % 2 == 0, "cd src && grep -n x a.go").otherwise("make all"))
+    none = F.lit(None).cast("string")
+    part = lambda kind, text=none, name=none, given=none, content=none: F.struct(F.lit(kind), text, name, F.when(given.isNotNull(), F.struct(given.alias("command"))), content).cast(block)
+    said = part("text", F.col("text"))
+    content = F.when(F.col("role") == "assistant", F.array(said, part("tool_use", name=tool, given=command))).when(F.col("role") == "user", F.array(part("tool_result", content=F.col("text")), said)).otherwise(F.array(said))
+    raw = F.to_json(F.struct("role", content.alias("content")))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").alias("n"), raw.alias("raw"))

@@ -17,3 +17,24 @@ def test_first_user_message(spark):
     rows = [(c, i, "user", t) for c, talk in enumerate(talks) for i, t in enumerate(talk)]
     got = telemetry.transcript_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).orderBy("conv_id").collect()
     assert [r.first_user for r in got] == ["<b>bold question</b>", "<ide_selection>x</ide_selection> and this", "y" * 300 + "…", None]
+
+
+def test_fallback_calls(spark):
+    rows = [("Read", "{}", True), ("Bash", '{"command":"grep x"}', True), ("Bash", '{"command":"a | wc -l"}', True), ("Bash", "cat f", True), ("Bash", '{"command":"make"}', False), ("Bash", '{"command":"x;ls"}', False), ("Edit", '"cat', False)]
+    df = spark.createDataFrame(rows, "name string, given string, want boolean")
+    assert [r[0] for r in df.select(telemetry.fallback_call(F.col("name"), F.col("given"))).collect()] == [r[2] for r in rows]
+
+
+def test_transcript_results(spark):
+    lines = [
+        '{"role":"assistant","content":[{"type":"text","text":"why"},{"type":"tool_use","name":"Bash","input":{"command":"rg y"}}]}',
+        '{"role":"user","content":[{"type":"tool_result","content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]}]}',
+        "broken",
+        '{"role":"assistant","content":[{"type":"text","text":""},{"type":"tool_use","name":"Agent"},{"type":"tool_use","name":"Read"}]}',
+        '{"role":"user","content":"plain"}',
+        '{"role":"assistant","content":[{"type":"tool_use","name":"Write"},{"type":"tool_use","name":"mcp__lodestone__stats"},{"type":"tool_use","name":"ExitPlanMode"}]}',
+    ]
+    found = telemetry.blocks(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "conv_id long, n long, raw string"))
+    got = telemetry.fallback_context(found).orderBy("n", "pos").collect()
+    assert [(r.n, r.tool, r.input, r.said, r.result) for r in got] == [(0, "Bash", '{"command":"rg y"}', "why", "ab"), (3, "Read", "{}", None, None)]
+    assert tuple(telemetry.transcript_calls(found).first()) == (1, 6, 1, 1, 1, 2, True)
