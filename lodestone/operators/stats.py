@@ -99,7 +99,8 @@ def freshness_level(states: DataFrame) -> DataFrame:
 
 
 def sample_files(snap: Snapshot, n: int = 200, seed: int = 7) -> DataFrame:
-    return snap.files.select("id", "path", "mtime_ns").orderBy(F.rand(seed)).limit(n)
+    """n files in an order drawn by the seed: by a digest of it and the id, so a repeated task draws the same."""
+    return snap.files.select("id", "path", "mtime_ns").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "id")), "id").limit(n)
 
 
 def probe(candidates: DataFrame, include: list[str], exclude: list[str], max_kb: int) -> DataFrame:

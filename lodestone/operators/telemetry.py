@@ -58,15 +58,24 @@ def external_rollup(rows: DataFrame) -> DataFrame:
     return rows.groupBy(label.alias("tool"), "category").agg(F.count("*").alias("count"), F.coalesce(F.sum("input_size"), F.lit(0)).alias("in_bytes"), F.coalesce(F.sum("output_size"), F.lit(0)).alias("out_bytes")).orderBy(F.desc("count"), "tool", "category")
 
 
-def sessionize(records: DataFrame, order: str = "n") -> DataFrame:
+def sessionize(records: DataFrame, order: str = "n", width: int = 100_000) -> DataFrame:
     """Calls with their session: their own sid; else that of the last marker before them in the order of the log; calls
-    before any marker go; a sid that has no marker is <unknown>. records: one log, so one order."""
+    before any marker go; a sid that has no marker is <unknown>. records: one log, or several told apart by log; order: a
+    whole number.
+
+    The last marker is carried in two steps, so no task holds a whole log: within ranges of the order, and over one row for
+    each range that has a marker."""
     marks = records.filter("kind = 'session_start'").select(F.col("sid").alias("m_sid")).distinct()
     own = records.filter("kind IS NULL AND sid IS NOT NULL").join(marks, F.col("sid") == F.col("m_sid"), "left").select(*records.columns, F.when(F.col("m_sid").isNotNull(), F.col("sid")).otherwise("<unknown>").alias("session"))
     if "log" not in records.columns:
         records = records.withColumn("log", F.lit(0))
-    w = Window.partitionBy("log").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = records.filter("kind = 'session_start' OR sid IS NULL").withColumn("session", F.last(F.when(F.col("kind") == "session_start", F.col("sid")), ignorenulls=True).over(w))
+    mark = F.when(F.col("kind") == "session_start", F.col("sid"))
+    ranged = records.filter("kind = 'session_start' OR sid IS NULL").withColumn("range", F.floor(F.col(order) / width))
+    last = ranged.groupBy("log", "range").agg(F.max_by(mark, F.when(mark.isNotNull(), F.col(order))).alias("last"))
+    w = Window.partitionBy("log").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.withColumn("carried", F.last("last", ignorenulls=True).over(w)).select("log", "range", "carried")
+    inside = F.last(mark, ignorenulls=True).over(Window.partitionBy("log", "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("inside", inside).join(before, ["log", "range"]).withColumn("session", F.coalesce("inside", "carried"))
     return own.unionByName(placed.filter("kind IS NULL AND session IS NOT NULL").select(*own.columns))
 
 

@@ -1,4 +1,6 @@
-"""Classification of tools and of texts that were put in for the user."""
+"""Classification of tools and of texts that were put in for the user; transcripts; sessions."""
+
+import random
 
 from lodestone.operators import telemetry
 from pyspark.sql import functions as F
@@ -38,3 +40,24 @@ def test_transcript_results(spark):
     got = telemetry.fallback_context(found).orderBy("n", "pos").collect()
     assert [(r.n, r.tool, r.input, r.said, r.result) for r in got] == [(0, "Bash", '{"command":"rg y"}', "why", "ab"), (3, "Read", "{}", None, None)]
     assert tuple(telemetry.transcript_calls(found).first()) == (1, 6, 1, 1, 1, 2, True)
+
+
+def test_sessions_across_ranges(spark):
+    """Any width of the ranges gives what one pass over each log does."""
+    rng = random.Random(5)
+    rows = []
+    for log in (1, 2):
+        for n in range(200):
+            start = rng.random() < 0.05
+            rows.append((log, n, f"s{rng.randrange(6)}" if start or rng.random() < 0.2 else None, "session_start" if start else None))
+    marks, want = {r[2] for r in rows if r[3]}, []
+    for log in (1, 2):
+        last = None
+        for _, n, sid, kind in (r for r in rows if r[0] == log):
+            if kind:
+                last = sid
+            elif sid or last:
+                want.append((log, n, last if sid is None else sid if sid in marks else "<unknown>"))
+    df = spark.createDataFrame(rows, "log long, n long, sid string, kind string")
+    for width in (1, 7, 1000):
+        assert sorted((r.log, r.n, r.session) for r in telemetry.sessionize(df, width=width).collect()) == sorted(want)
