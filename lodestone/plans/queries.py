@@ -13,7 +13,7 @@ from lodestone.sources.adapter import star_snapshot
 from lodestone.sources.adapter import telemetry as star_telemetry
 from lodestone.sources.adapter import transcript as star_transcript
 from lodestone.sources.model import Snapshot
-from lodestone.streaming import watch
+from lodestone.streaming import coalesce, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -649,7 +649,7 @@ def debounced_events(spark: SparkSession, d: str) -> DataFrame:
     "starts AS (SELECT min(ts) AS s FROM events UNION ALL SELECT (SELECT min(ts) FROM events WHERE ts >= starts.s + INTERVAL 6 HOUR) FROM starts WHERE s IS NOT NULL)",
 )
 def coalesce_overflow(spark: SparkSession, d: str) -> DataFrame:
-    return watch.coalesced(_file_events(spark, d), window_ms=6 * 3_600_000, limit=80).withColumn("batch_ts", F.col("batch_ts").cast("timestamp_ntz"))
+    return coalesce.coalesced(_file_events(spark, d), window_ms=6 * 3_600_000, limit=80).withColumn("batch_ts", F.col("batch_ts").cast("timestamp_ntz"))
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,4 @@
-"""File events: filters, debouncing, coalescing, overflow, and the merge of a batch into the index.
+"""File events: filters, debouncing, overflow, and the merge of a batch into the index (coalesce has the batches).
 
 Each rule exists twice: over a finished log as window expressions (replay, tests), and over a stream. The stream keeps
 one short session for each path and a watermark only to bound that state.
@@ -38,23 +38,6 @@ def debounced_stream(events: DataFrame, quiet_ms: int = DEBOUNCE_MS, watermark:
     return s.agg(F.count("*").alias("n"), F.max_by("removed", F.struct("ts", "seq")).alias("removed")).select("path", F.col("w.start").alias("first_ts"), "n", "removed")
 
 
-def coalesced(events: DataFrame, window_ms: int = COALESCE_MS, limit: int = OVERFLOW) -> DataFrame:
-    """(source, batch_ts, n, overflow): a batch opens at its first event and takes what comes within the window; one of
-    limit events or more, or with a backend's overflow, is a single marker. events: source, ts, overflow.
-
-    Where a batch ends depends on where the one before began, so a source's times are folded in order; only its distinct
-    times are gathered, and a source is one watched tree."""
-    times = events.groupBy("source").agg(F.array_sort(F.collect_set(F.unix_micros("ts"))).alias("times"))
-    width = window_ms * 1000
-    starts = F.aggregate("times", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + width), F.concat(acc, F.array(t))).otherwise(acc))
-    opened = times.select("source", F.explode(starts).alias("start"))
-    w = Window.partitionBy("source").orderBy("t", F.desc("is_start"))
-    marks = events.select("source", F.unix_micros("ts").alias("t"), "overflow", F.lit(0).alias("is_start")).unionByName(opened.select("source", F.col("start").alias("t"), F.lit(False).alias("overflow"), F.lit(1).alias("is_start")))
-    placed = marks.withColumn("batch", F.last(F.when(F.col("is_start") == 1, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("is_start = 0")
-    out = placed.groupBy("source", "batch").agg(F.count("*").alias("n"), F.max("overflow").alias("over"))
-    return out.select("source", F.timestamp_micros("batch").alias("batch_ts"), "n", ((F.col("n") >= limit) | F.col("over")).alias("overflow"))
-
-
 def actions(batch: DataFrame, limit: int = OVERFLOW) -> DataFrame:
     """What a micro-batch asks for: one row for each path (its last event), or a single rescan."""
     w = Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("seq"))

@@ -12,7 +12,7 @@ from lodestone.operators import graph, lookup, resolve, stats, telemetry, text,
 from lodestone.plans import tools
 from lodestone.sources import extract, tree
 from lodestone.sources.model import DOCUMENTS, FILES, LINES, PROJECTS, REFS, SYMBOLS, Snapshot
-from lodestone.streaming import watch
+from lodestone.streaming import coalesce, watch
 from pyspark.sql import functions as F
 
 
@@ -177,7 +177,7 @@ def test_streams_as_replay(spark, tmp_path):
     events = spark.createDataFrame([(p, t / 1000, i, i % 2 == 1, False, "s", None) for i, (p, t) in enumerate(rows)], "path string, s double, seq long, removed boolean, overflow boolean, source string, size long").withColumn("ts", F.timestamp_seconds("s"))
     got = {(r.path, r.n, r.removed) for r in watch.debounced(events).collect()}
     assert got == {("a", 2, True), ("b", 1, False), ("a", 1, True), ("c", 1, False), ("c", 1, True)}
-    assert sorted((r.n, r.overflow) for r in watch.coalesced(events, limit=5).collect()) == [(1, False), (5, True)]
+    assert sorted((r.n, r.overflow) for r in coalesce.coalesced(events, limit=5).collect()) == [(1, False), (5, True)]
     assert [r.action for r in watch.actions(events, limit=3).collect()] == ["rescan"]
     assert sorted((r.action, r.path) for r in watch.actions(events).collect()) == [("delete", "a"), ("delete", "c"), ("process", "b")]
     kept = watch.wanted(events.unionByName(events.limit(1).withColumn("path", F.lit(".git/x"))), [".*"], ["^b$"])
