@@ -47,26 +47,26 @@ def _anchors(batch: pa.RecordBatch, i: int, window: int, gram: int) -> tuple:
 
 def trees(key: np.ndarray, words: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, order: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, window start in it) of every window that an earlier context has too. words[first : first + size] are
-    a context's words, anchor the place of its anchor in them; order: equal for contexts of one place, else earlier ones less."""
+    a context's words (numbers from 0), anchor the place of its anchor in them; order: equal for contexts of one place, else
+    earlier ones less."""
     by = np.argsort(order, kind="stable")
     key, first, size, anchor, order = key[by], first[by], size[by], anchor[by], order[by]
-    names = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    wide = np.int64(names.max() + 2 if len(names) else 2)
-    node = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    right, left = [node], [np.zeros(len(key), dtype=np.int64)]
+    wide = np.int64(words.max()) + 2 if len(words) else np.int64(2)
+    node = np.unique(key, return_inverse=True)[1].astype(np.int32)
+    right, left = [node], [np.zeros(len(key), dtype=np.int32)]
     for d in range(window):
-        word = np.where(anchor + d < size, names[np.minimum(first + anchor + d, len(names) - 1)] + 1, 0)
-        right.append(np.unique(right[-1] * wide + word, return_inverse=True)[1].astype(np.int64))
+        word = np.where(anchor + d < size, words[np.minimum(first + anchor + d, len(words) - 1)] + 1, 0)
+        right.append(np.unique(right[-1] * wide + word, return_inverse=True)[1].astype(np.int32))
     most = int(anchor.max()) if len(anchor) else 0
     for d in range(1, most + 1):
-        word = np.where(anchor >= d, names[np.maximum(first + anchor - d, 0)] + 1, 0)
-        left.append(np.unique(left[-1] * wide + word, return_inverse=True)[1].astype(np.int64))
+        word = np.where(anchor >= d, words[np.maximum(first + anchor - d, 0)] + 1, 0)
+        left.append(np.unique(left[-1] * wide + word, return_inverse=True)[1].astype(np.int32))
     which, start = [], []
     for j in range(min(most, window) + 1):
         own = np.flatnonzero((anchor >= j) & (size - anchor >= window - j))
         if not len(own):
             continue
-        pair = right[window - j][own] * (left[j].max() + 1) + left[j][own]
+        pair = right[window - j][own] * np.int64(left[j].max() + 1) + left[j][own]
         _, head, inverse = np.unique(pair, return_index=True, return_inverse=True)
         later = order[own] > order[own][head][inverse]
         which.append(own[later])
@@ -106,7 +106,12 @@ def _contexts(window: int, gram: int, bins: int, shift: np.uint64):
 def _bin(window: int):
     def run(table: pa.Table) -> pa.Table:
         metas = [unpack(x.as_py(), np.int64).reshape(7, -1) for x in table["meta"]]
-        words = np.concatenate([unpack(x.as_py(), U64)[unpack(y.as_py(), np.int32)] for x, y in zip(table["names"], table["words"], strict=True)])
+        # the words' numbers in the bin, from their numbers in the parts: the words themselves are never laid out
+        names = [unpack(x.as_py(), U64) for x in table["names"]]
+        number = np.unique(np.concatenate(names), return_inverse=True)[1].astype(np.int32)
+        before = np.cumsum([0] + [len(x) for x in names])
+        words = np.concatenate([number[a + unpack(y.as_py(), np.int32)] for a, y in zip(before[:-1], table["words"], strict=True)])
+        del names, number
         block = np.repeat(table["block"].to_numpy(), [m.shape[1] for m in metas])
         key, k_id, k_th, doc, lo, size, anchor = np.concatenate(metas, axis=1)
         place = np.lexsort((lo + anchor, k_th, k_id))
