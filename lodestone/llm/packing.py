@@ -92,9 +92,12 @@ class Encoder:
         """Ids of pretokens, many at a time: those with a blank before them follow each other in one text, those that
         begin with something else stand between line feeds; both texts split into just these pretokens again."""
         out: list[bytes] = [b""] * len(names)
-        blank = [i for i, x in enumerate(names) if len(x) > 1 and x[0] == " " and not x[1].isspace()]
-        bare = [i for i, x in enumerate(names) if not x[0].isspace()]
-        rest = [i for i, x in enumerate(names) if x[0].isspace() and not (len(x) > 1 and x[0] == " " and not x[1].isspace())]
+        blank, bare, rest = [], [], []
+        for i, x in enumerate(names):
+            if x[0] == " ":
+                (rest if len(x) == 1 or x[1].isspace() else blank).append(i)
+            else:
+                (rest if x[0].isspace() else bare).append(i)
         for which, before in ((blank, ""), (bare, "\n")):
             for lo in range(0, len(which), 4000):
                 own = which[lo : lo + 4000]
@@ -127,12 +130,15 @@ class Encoder:
         names, head, which = np.unique(chars_hash(chars, start, end), return_index=True, return_inverse=True)
         if len(self.kept) > CACHED:
             self.kept.clear()
-        ids = list(map(self.kept.get, names.tolist()))
+        keys = names.tolist()
+        ids = list(map(self.kept.get, keys))
         new = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(new, self.pretokens([joined[start[head[i]] : end[head[i]]] for i in new]), strict=True):
+        heads = head[new] if new else head[:0]
+        found = self.pretokens([joined[a:b] for a, b in zip(start[heads].tolist(), end[heads].tolist(), strict=True)])
+        for i, x in zip(new, found, strict=True):
             ids[i] = x
-            self.kept[int(names[i])] = x
-        size = np.array([len(x) for x in ids], dtype=np.int64) // 4
+            self.kept[keys[i]] = x
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         first = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         own = size[which]
@@ -179,11 +185,12 @@ def pieces(docs: DataFrame, path: str | None = None, most: int = MOST, end_id: i
                 for d, own in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()]), strict=True):
                     own += end
                     n = len(own) // 4
-                    for at, size in cuts(n, most):
-                        doc.append(d)
+                    own_cuts = cuts(n, most)
+                    doc += [d] * len(own_cuts)
+                    tokens += [n] * len(own_cuts)
+                    for at, size in own_cuts:
                         start.append(at)
                         length.append(size)
-                        tokens.append(n)
                         ids.append(own[4 * at : 4 * (at + size)])
                 longs = [pa.array(x, pa.int64()) for x in (doc, start, length, tokens)]
                 yield pa.RecordBatch.from_arrays([*longs, pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
