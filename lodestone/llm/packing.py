@@ -25,7 +25,7 @@ END_ID = 1
 MOST = 2048
 #: Bytes of text that are encoded at once: the larger, the fewer distinct pretokens are looked up again.
 ENCODED_BYTES = 2_000_000
-#: Pretokens whose ids a worker keeps between slices.
+#: Pretokens whose ids a worker keeps between slices, twice over.
 CACHED = 300_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -81,6 +81,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.classes = _classes()
         self.kept: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}  # of the last CACHED before these; what is used again moves over
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -129,9 +130,11 @@ class Encoder:
         end = np.append(start, len(chars))[1:]
         names, head, which = np.unique(chars_hash(chars, start, end), return_index=True, return_inverse=True)
         if len(self.kept) > CACHED:
-            self.kept.clear()
+            self.kept, self.older = {}, self.kept
         keys = names.tolist()
         ids = list(map(self.kept.get, keys))
+        for i in [i for i, x in enumerate(ids) if x is None and keys[i] in self.older]:
+            ids[i] = self.kept[keys[i]] = self.older[keys[i]]
         new = [i for i, x in enumerate(ids) if x is None]
         heads = head[new] if new else head[:0]
         found = self.pretokens([joined[a:b] for a, b in zip(start[heads].tolist(), end[heads].tolist(), strict=True)])
