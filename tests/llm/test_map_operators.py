@@ -212,3 +212,12 @@ def test_url_filters_by_entries_of_any_depth(spark, broadcast_rows):
     entries = [("h.org/a/b/c/d", "block"), ("h.org/a/b/c/d/e", "allow"), ("h.org/1/2/3/4/5/6/7", "block")]
     got = urlfilter.evaluate(pages, spark.createDataFrame([(*e, "2024-01-01") for e in entries], "pattern string, action string, listed_on string"), broadcast_rows=broadcast_rows)
     assert sorted((r.page_id, r.pattern, r.blocked) for r in got.collect() if r.pattern) == [(0, "h.org/a/b/c/d", True), (1, "h.org/a/b/c/d/e", False), (4, "h.org/1/2/3/4/5/6/7", True)]
+
+
+def test_a_full_cache_of_pretokens(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 5)
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for i in range(12):
+        texts = [f"the word{k} it's  {k * k}\n\tend{i}" for k in range(i, i + 4)] + ["", " ", "the the end3"]
+        assert encoder.encode(texts) == encoder.whole(texts)
+        assert len(encoder.older) < 60
