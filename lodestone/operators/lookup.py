@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.expr import focus_score, focus_tokens, rank_bucket, sqlite_like
+from lodestone.functions.expr import ascii_lower, focus_score, focus_tokens, parent_name, rank_bucket, sqlite_like
 from lodestone.sources.model import Snapshot
 
 
@@ -69,21 +69,48 @@ def find_symbol(snap: Snapshot, name: str, kind: str | None = None, project: str
     return Matches(page.filter("score > 0") if tokens else page, limit, [F.desc("score"), *order], why)
 
 
+def _above(low: F.Column) -> F.Column:
+    """All beginnings of a name that a dot follows."""
+    parts = F.split(low, r"\.")
+    return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "."))
+
+
+def below(symbols: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id) of symbols whose qualified name is LIKE root.%, with ASCII case folding and live wildcards: by equality, no root
+    is held against all symbols. An underscore stands for any one character, so a beginning of a name is looked up once for
+    each pattern of underscores that roots of its length have, with these places blanked. Roots with a percent sign are looked up by
+    what stands before the last dot ahead of their first wildcard."""
+    low = symbols.select("id", ascii_lower(F.col("qualified")).alias("low"))
+    roots = roots.select(ascii_lower(F.col("root")).alias("root")).distinct()
+    plain, percent = roots.filter(F.instr("root", "%") == 0), roots.filter(F.instr("root", "%") > 0)
+    sizes = F.transform(F.split("root", "_"), lambda part: F.length(part))
+    masks = plain.select(F.length("root").alias("size"), sizes.alias("sizes")).distinct()
+    starts = F.transform("sizes", lambda n, i: F.aggregate(F.slice("sizes", 1, i), i + 1, lambda a, b: a + b))
+    masks = masks.withColumn("spots", F.arrays_zip(starts.alias("at"), F.col("sizes").alias("n"))).drop("sizes")
+    names = low.select("id", F.explode(_above(F.col("low"))).alias("name"))
+    blanked = names.join(masks, F.length("name") == F.col("size")).select("id", F.array_join(F.transform("spots", lambda s: F.substring(F.col("name"), s["at"], s["n"])), "_").alias("root"))
+    head = parent_name(F.regexp_extract("root", "^[^%_]*", 0))
+    wild = percent.select(head.alias("head"), F.concat(F.replace("root", F.lit("\\"), F.lit("\\\\")), F.lit(".%")).alias("pattern"))
+    heads = low.select("id", "low", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _above(F.col("low"))))).alias("head"))
+    return blanked.join(plain, "root", "left_semi").select("id").unionByName(heads.join(wild, "head").filter(F.like("low", F.col("pattern"))).select("id")).distinct()
+
+
 def target_ids(snap: Snapshot, target: str) -> DataFrame:
     """Symbols named so, by qualified or short name, and all below those."""
-    s = snap.symbols
-    roots = s.filter((F.col("qualified") == target) | (F.col("name") == target)).select(F.col("qualified").alias("root")).distinct()
-    below = s.join(roots, F.expr("startswith(translate(qualified, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), concat(translate(root, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.'))")).select("id")
-    return s.filter((F.col("qualified") == target) | (F.col("name") == target)).select("id").unionByName(below).distinct()
+    named = snap.symbols.filter((F.col("qualified") == target) | (F.col("name") == target))
+    return named.select("id").unionByName(below(snap.symbols, named.select(F.col("qualified").alias("root")))).distinct()
 
 
 def get_references(snap: Snapshot, target: str, limit: int = 100, project: str | None = None, since: list[str] | None = None) -> Matches:
     ids = target_ids(snap, target)
     files = snap.placed_files(project, since).select(F.col("id").alias("src_file_id"), F.col("shown").alias("path"), "project")
-    hit = snap.refs.join(ids.withColumnRenamed("id", "dst_symbol_id"), "dst_symbol_id", "left_semi").withColumn("branch", F.lit(0))
-    loose = snap.refs.filter("NOT resolved").filter((F.col("dst_name") == target) | (F.col("dst_short") == target)).withColumn("branch", F.lit(1))
+    # one pass over the references: to a target, by name only, or both
+    hit = F.when(F.col("hit"), 0)
+    loose = F.when(~F.col("resolved") & ((F.col("dst_name") == target) | (F.col("dst_short") == target)), 1)
+    found = snap.refs.join(ids.select(F.col("id").alias("dst_symbol_id"), F.lit(True).alias("hit")), "dst_symbol_id", "left").filter(hit.isNotNull() | loose.isNotNull())
+    found = found.withColumn("branch", F.explode(F.array_compact(F.array(hit, loose))))
     names = snap.symbols.select(F.col("id").alias("src_symbol_id"), F.col("qualified").alias("src"))
-    page = hit.unionByName(loose).join(files, "src_file_id").join(names, "src_symbol_id", "left")
+    page = found.join(files, "src_file_id").join(names, "src_symbol_id", "left")
     page = page.select("id", "branch", "path", "project", "line", F.coalesce("src", F.lit("")).alias("src"), "dst_name", "kind", "resolved")
 
     def why() -> list[str]:
