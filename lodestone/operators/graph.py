@@ -1,7 +1,8 @@
 """Walks over the reference graph: one frontier operator, and the closures, neighbourhoods and paths on top of it.
 
 Every layer is a join of the edges with a set of nodes, so the work of a layer is bounded by the edges whatever the
-number of seeds; layers are cut off from the plan by checkpoints and the walk ends at an empty layer.
+number of seeds; layers are cut off from the plan by checkpoints and the walk ends at an empty layer. The edges themselves
+are computed once for a snapshot (Snapshot.pairs), and stay where they are while a layer is small.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from lodestone.sources.model import Snapshot
 NEIGHBOR_DEPTH, NEIGHBOR_CAP = 2, 5
 IMPACT_DEPTH, IMPACT_CAP = 5, 10
 PATH_DEPTH, PATH_COUNT = 8, 5
+#: A layer of more nodes is not broadcast.
+SMALL_LAYER = 200_000
 
 
 def clamp(depth: int | None, default: int, cap: int) -> tuple[int, list[str]]:
@@ -33,18 +36,29 @@ def _empty(spark, schema: str) -> DataFrame:
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int, near: str = "dst", far: str = "src") -> DataFrame:
     """(id, distance) of all nodes reached from seeds(id) against (or along) the edges, each once at its least distance.
     The seeds themselves are not visited: one on a cycle is reached like any other node."""
-    step = cut(edges.select(F.col(near).alias("a"), F.col(far).alias("b")).distinct())
-    now, seen = seeds.select("id").distinct(), None
+    return reach(cut(edges.select("src", "dst").distinct()), seeds, depth, near, far)
+
+
+def _hinted(layer: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(layer) if size <= SMALL_LAYER else layer
+
+
+def reach(pairs: DataFrame, seeds: DataFrame, depth: int, near: str = "dst", far: str = "src") -> DataFrame:
+    """frontier over edges that are already cut off and distinct, such as Snapshot.pairs."""
+    step = pairs.select(F.col(near).alias("a"), F.col(far).alias("b"))
+    now, seen = cut(seeds.select("id").distinct()), None
+    size = now.count()
     layers = []
     for d in range(1, depth + 1):
-        reached = step.join(now.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        reached = step.join(_hinted(now.select(F.col("id").alias("a")), size), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         layer = cut((reached.join(seen, "id", "left_anti") if seen is not None else reached).withColumn("distance", F.lit(d)))
-        if layer.isEmpty():
+        size = layer.count()
+        if not size:
             break
         layers.append(layer)
         now = layer
         seen = layer.select("id") if seen is None else seen.unionByName(layer.select("id"))
-    return reduce(DataFrame.unionByName, layers) if layers else _empty(edges.sparkSession, "id long, distance int")
+    return reduce(DataFrame.unionByName, layers) if layers else _empty(pairs.sparkSession, "id long, distance int")
 
 
 def resolve_seed(snap: Snapshot, target: str) -> int:
@@ -64,7 +78,7 @@ def _one(snap: Snapshot, i: int) -> DataFrame:
 
 def impact(snap: Snapshot, seeds: DataFrame, kind: str | None = None, depth: int = IMPACT_DEPTH, project: str | None = None, since: list[str] | None = None) -> DataFrame:
     """All that reaches the seeds, with its distance. kind, project and since narrow the report, not the walk."""
-    reached = frontier(snap.edges(), seeds, clamp(depth, IMPACT_DEPTH, IMPACT_CAP)[0])
+    reached = reach(snap.pairs, seeds, clamp(depth, IMPACT_DEPTH, IMPACT_CAP)[0])
     s = snap.symbols.filter(F.col("kind") == kind) if kind else snap.symbols
     files = snap.placed_files(project, since).select(F.col("id").alias("file_id"), F.col("shown").alias("path"), "project")
     return reached.join(s, "id").join(files, "file_id").select("id", "qualified", "kind", "path", "project", "distance").orderBy("distance", "qualified", "id")
@@ -77,7 +91,7 @@ def impact_analysis(snap: Snapshot, target: str, **options) -> DataFrame:
 def closure_files(snap: Snapshot, seeds: DataFrame, depth: int = IMPACT_DEPTH, project: str | None = None) -> DataFrame:
     """(path, project, distance): the files of all that reaches the seeds, at their least distance."""
     files = snap.placed_files(project).select(F.col("id").alias("file_id"), F.col("shown").alias("path"), "project")
-    return frontier(snap.edges(), seeds, depth).join(snap.symbols.select("id", "file_id"), "id").join(files, "file_id").groupBy("path", "project").agg(F.min("distance").alias("distance"))
+    return reach(snap.pairs, seeds, depth).join(snap.symbols.select("id", "file_id"), "id").join(files, "file_id").groupBy("path", "project").agg(F.min("distance").alias("distance"))
 
 
 def inherit_expand(snap: Snapshot, seed: int) -> DataFrame:
@@ -108,13 +122,14 @@ def neighborhood(snap: Snapshot, seeds: DataFrame, depth: int = NEIGHBOR_DEPTH,
         every = every.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
     every = cut(every.distinct())
     seeds = cut(seeds.select("id").distinct())
-    parts = []
+    first, parts = seeds.count(), []
     for one in ("out", "in") if way == "both" else (way,):
         near, far = ("src", "dst") if one == "out" else ("dst", "src")
-        now = seeds
+        now, size = seeds, first
         for d in range(1, depth + 1):
-            layer = cut(every.join(now.select(F.col("id").alias(near)), near, "left_semi").select("src", "dst", "kind", "file_id", "line", F.lit(d).alias("depth"), F.lit(one).alias("direction")))
-            if layer.isEmpty():
+            layer = cut(every.join(_hinted(now.select(F.col("id").alias(near)), size), near, "left_semi").select("src", "dst", "kind", "file_id", "line", F.lit(d).alias("depth"), F.lit(one).alias("direction")))
+            size = layer.count()  # its nodes are no more than its edges
+            if not size:
                 break
             parts.append(layer)
             now = layer.select(F.col(far).alias("id")).distinct()
@@ -139,19 +154,19 @@ def shortest_paths(snap: Snapshot, start: int, goal: int, depth: int = PATH_DEPT
     spark = snap.symbols.sparkSession
     if start == goal:
         return spark.createDataFrame([(1, [start])], "n int, ids array<long>")
-    every = snap.edges().select("src", "dst").filter("src <> dst").distinct()
+    every = snap.pairs.select("src", "dst").filter("src <> dst")
     if project:
         inside = snap.symbols.join(snap.placed_files(project).select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id")
-        every = every.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
-    every = cut(every)
+        every = cut(every.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi"))
     seen = cut(spark.createDataFrame([(start,)], "id long"))
-    now, parents, found = seen, [], False
+    now, size, parents, found = seen, 1, [], False
     for _ in range(depth):
-        step = every.join(now.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        step = every.join(_hinted(now.select(F.col("id").alias("src")), size), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         step = cut(step.select("src", "dst"))
         parents.append(step)
         now = step.select(F.col("dst").alias("id")).distinct()
-        if now.isEmpty():
+        size = now.count()
+        if not size:
             break
         if not now.filter(F.col("id") == goal).isEmpty():
             found = True

@@ -47,6 +47,11 @@ def _seed(snap: Snapshot) -> DataFrame:
     return snap.edges().groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1).select(F.col("dst").alias("id"))
 
 
+def _pair_seed(snap: Snapshot) -> DataFrame:
+    """The same for a query that walks the snapshot's pairs."""
+    return snap.pairs.groupBy("dst").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("id"))
+
+
 # --- symbols, references, files ---
 
 _FOUND = "s.id, s.name, qualified, s.kind, shown AS path, project"
@@ -177,7 +182,7 @@ _WALK = "w AS (SELECT id, 0 AS depth FROM seed UNION SELECT src, depth + 1 FROM
 
 
 def _impact(snap: Snapshot, **options) -> DataFrame:
-    return graph.impact(snap, _seed(snap), **options).select("id", "qualified", "kind", "path", "distance")
+    return graph.impact(snap, _pair_seed(snap), **options).select("id", "qualified", "kind", "path", "distance")
 
 
 @snapshot_query(_IMPACT, _WALK.format(5))
@@ -255,14 +260,15 @@ def inherit_expand_method(snap: Snapshot) -> DataFrame:
     + ", lay AS (SELECT id, min(depth) AS d FROM w GROUP BY id), back AS (SELECT [id] AS walk FROM seed UNION ALL SELECT list_append(walk, src) FROM back JOIN (SELECT DISTINCT src, dst FROM edges WHERE src <> dst) e ON dst = walk[len(walk)] JOIN lay ON lay.id = src AND lay.d = len(walk) WHERE len(walk) < 4)",
 )
 def critical_path(snap: Snapshot) -> DataFrame:
-    goal = _seed(snap).first()[0]
-    far = graph.frontier(snap.edges(), _seed(snap), 3).filter(F.col("id") != goal).orderBy(F.desc("distance"), "id").limit(1).collect()
-    return graph.shortest_paths(snap, far[0]["id"] if far else goal, goal).select("n", F.array_join("ids", ">").alias("ids"))
+    goal = _pair_seed(snap).first()
+    far = graph.reach(snap.pairs, _pair_seed(snap), 3).filter(F.col("id") != goal[0]).orderBy(F.desc("distance"), "id").first() if goal else None
+    paths = graph.shortest_paths(snap, far[0], goal[0]) if far else snap.symbols.sparkSession.createDataFrame([], "n int, ids array<long>")
+    return paths.select("n", F.array_join("ids", ">").alias("ids"))
 
 
 @snapshot_query("SELECT shown AS path, project, CAST(min(depth) AS INTEGER) AS distance FROM w JOIN symbols s USING (id) JOIN pf ON pf.id = file_id WHERE depth > 0 GROUP BY ALL", _WALK.format(3))
 def closure_files(snap: Snapshot) -> DataFrame:
-    return graph.closure_files(snap, _seed(snap), 3)
+    return graph.closure_files(snap, _pair_seed(snap), 3)
 
 
 # --- lines ---

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.expr import display_path
+from lodestone.plans.iterate import cut
 
 SYMBOL_KINDS = ("function", "method", "type", "interface", "class", "var", "const")
 REF_KINDS = ("call", "import", "type_ref", "inherit")
@@ -51,5 +53,10 @@ class Snapshot:
         r = self.refs.filter("src_symbol_id IS NOT NULL AND dst_symbol_id IS NOT NULL")
         return r.select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst"), "kind", F.col("src_file_id").alias("file_id"), "line")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(src, dst, n): the edges from one symbol to another as one row, computed once for the snapshot."""
+        return cut(self.edges().groupBy("src", "dst").agg(F.count("*").alias("n")))
+
     def with_(self, **tables: DataFrame) -> Snapshot:
         return replace(self, **tables)
