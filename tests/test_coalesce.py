@@ -44,6 +44,36 @@ def test_batches_of_a_log(spark, monkeypatch, seed, n, span, stretch):
     assert got(coalesce.coalesced(frame(spark, rows), window_ms=1, limit=4)) == plain(rows, 1000, 4)
 
 
+@pytest.mark.parametrize("seed,n,span,slices,block,steps", [(1, 400, 30_000, 64, 16, 2), (2, 600, 3_000, 64, 8, 1), (3, 600, 8_000, 4, 50, 3), (4, 900, 2_500, 2000, 1, 2), (5, 300, 100_000, 8, 20, 128)])
+def test_batches_of_a_crowded_log(spark, monkeypatch, seed, n, span, slices, block, steps):
+    for name, value in {"SLICES": slices, "BLOCK": block, "STEPS": steps}.items():
+        monkeypatch.setattr(coalesce, name, value)
+    rows = log(seed, n, span)
+    assert got(coalesce.coalesced(frame(spark, rows), window_ms=1, limit=4)) == plain(rows, 1000, 4)
+
+
+def test_no_task_folds_a_whole_crowded_range(spark, monkeypatch):
+    def bounded(make):
+        def made(width):
+            run = make(width)
+
+            def checked(key, table, *more):
+                assert len(table) <= 128, len(table)
+                return run(key, table, *more)
+
+            return checked if make.__name__ == "_exits" else lambda key, table, more: checked(key, table, more)
+
+        return made
+
+    for name, value in {"BLOCK": 100, "SLICES": 64}.items():
+        monkeypatch.setattr(coalesce, name, value, raising=False)
+    monkeypatch.setattr(coalesce, "_exits", bounded(coalesce._exits))
+    monkeypatch.setattr(coalesce, "_batches", bounded(coalesce._batches))
+    # 12 windows of 1,000 times in one range
+    rows = [("a", t, False) for t in range(0, 12_000)]
+    assert got(coalesce.coalesced(frame(spark, rows), window_ms=1, limit=4)) == plain(rows, 1000, 4)
+
+
 def test_batches_of_a_stream(spark, tmp_path):
     rows = sorted(((s, t + 10**10, o) for s, t, o in log(7, 300, 2_000_000) if t is not None), key=lambda r: r[1])
     folder = str(tmp_path / "in")
